@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import simhash, substring
+from tessera.llm import mixing, rules, sharding, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +15,28 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(_table(spark, sf_dir, "documents"))
 
 
+def op4_shard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return mixing.mix_sources(docs, quality=mixing.label_weights(labels, docs))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op7_simhash_near_dedup)}
-SQL = {"op1_substring_dedup": substring.SQL, "op7_simhash_near_dedup": simhash.SQL}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_shard_groups, op5_mix_sources, op6_quality_rules, op7_simhash_near_dedup)}
+SQL = {
+    "op1_substring_dedup": substring.SQL,
+    "op4_shard_groups": sharding.SQL,
+    "op5_mix_sources": mixing.SQL,
+    "op7_simhash_near_dedup": simhash.SQL,
+}
