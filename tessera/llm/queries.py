@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, rules, sharding, simhash, substring
+from tessera.llm import bpe, embeddings, html, licenses, mixing, rules, sharding, simhash, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_pages(_table(spark, sf_dir, "pages"))
+    return warc.read_records(warc.first_captures(index))
+
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op4_shard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -33,10 +42,30 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_shard_groups, op5_mix_sources, op6_quality_rules, op7_simhash_near_dedup)}
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html.extract_pages(pages, html.fit(pages))
+
+
+_all = (
+    op1_substring_dedup, op2_warc, op3_bpe_round_trip, op4_shard_groups, op5_mix_sources,
+    op6_quality_rules, op7_simhash_near_dedup, op8_license_scan, op9_embedding_near_dedup, op10_html_extraction,
+)
+QUERIES = {f.__name__: f for f in _all}
+#: None for BPE, quality rules, license scans and HTML extraction, which are tested against brute force.
 SQL = {
     "op1_substring_dedup": substring.SQL,
+    "op2_warc": warc.SQL,
     "op4_shard_groups": sharding.SQL,
     "op5_mix_sources": mixing.SQL,
     "op7_simhash_near_dedup": simhash.SQL,
+    "op9_embedding_near_dedup": embeddings.SQL,
 }
