@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tessera.plans import prices
+
+_parts = (prices,)
+QUERIES: dict = {k: v for p in _parts for k, v in p.QUERIES.items()}
+SQL: dict = {k: v for p in _parts for k, v in p.SQL.items()}
