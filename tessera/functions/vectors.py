@@ -33,14 +33,17 @@ def add(a: Column, b: Column) -> Column:
 def hashed_embedding(text: Column, dim: int = DIM) -> Column:
     """T5's default: counts of the lower-case words by the md5 of each, at unit length; zeros for a text without words."""
     words = F.filter(F.split(F.lower(text), r"[\s\x{0B}\x{85}\x{1C}-\x{1F}\p{Z}]+"), lambda w: w != "")
-    at = F.array_sort(F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % dim).cast("int")))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
+    at = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % dim).cast("int"))
+    each = F.array(*(F.lit(i) for i in range(dim)))
+    # bound as a variable, else the words are hashed anew for each component; array_remove counts without a lambda
+    counts = F.element_at(F.transform(F.array(at), lambda a: F.transform(each, lambda i: (F.size(a) - F.size(F.array_remove(a, i))).cast("double"))), 1)
     return unit(counts)
 
 
 def unit(v: Column) -> Column:
-    # the norm is a struct's field, else it is computed anew for each component
-    return F.element_at(F.transform(F.array(F.struct(v.alias("v"))), lambda s: F.element_at(F.transform(F.array(norm(s["v"])), lambda n: F.transform(s["v"], lambda x: F.when(n > 0, F.try_divide(x, n)).otherwise(x))), 1)), 1)
+    # vector and norm are variables, each computed once
+    scaled = lambda v, n: F.transform(v, lambda x: F.when(n > 0, F.try_divide(x, n)).otherwise(x))
+    return F.element_at(F.transform(F.array(v), lambda v: F.element_at(F.transform(F.array(norm(v)), lambda n: scaled(v, n)), 1)), 1)
 
 
 def hashed_embedding_sql(t: str, dim: int = DIM) -> str:
