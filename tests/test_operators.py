@@ -111,8 +111,9 @@ def test_page_reference_and_far(spark):
 
 
 def test_stub_is_retried(spark):
-    body = paras(20) + f"<div>{HEAD['7']}</div><div>{HEAD['7']}</div>" + paras(90)
-    assert split(spark, body)["7"]["words"] == 274
+    body = paras(20) + f"<div>{HEAD['7']}</div><div>{HEAD['2']}</div>" + paras(9) + f"<div>{HEAD['7']}</div>" + paras(90)
+    got = split(spark, body)
+    assert got["7"]["words"] == 274 and got["2"]["words"] == 30 and got["7"]["order_correct"]
 
 
 def test_repair():
