@@ -131,9 +131,20 @@ def extract(page: str | None, weights: dict[str, float], cache: dict[str, str |
 
 
 def fit(pages: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "page_id", html_col: str = "html") -> dict[str, float]:
-    """Weights learned from at most max_labelled pages with an article element. Without one, every tag has the weight of the smallest scale."""
-    some = pages.where(F.lower(html_col).contains("<article")).orderBy(F.xxhash64(id_col), id_col).select(html_col).limit(max_labelled)
-    return learn([r[0] for r in some.collect()])
+    """Weights learned from at most max_labelled pages with an article element, those with the least hash of their id. Without one, every tag has the weight of the smallest scale.
+
+    They are counted first: only pages below the hash that about twice as many have come to the driver, not so many from each task.
+    """
+    labelled, h = pages.where(F.lower(html_col).contains("<article")), F.xxhash64(id_col)
+    n = labelled.count()
+    share, rows = 2 * max_labelled / max(n, 1), []
+    while n and max_labelled > 0:
+        some = labelled if share >= 1 else labelled.where(h <= int(-(1 << 63) + share * (1 << 64)))
+        rows = some.orderBy(h, id_col).select(html_col).limit(max_labelled).collect()
+        if share >= 1 or len(rows) >= max_labelled:
+            break
+        share *= 2
+    return learn([r[0] for r in rows])
 
 
 def _run(weights: dict[str, float]):
