@@ -3,6 +3,7 @@
 In each of several tables a random projection takes a unit vector to eight dimensions, scaled, where it is decoded to the nearest point
 of the lattice E8. A vector lies in its own cell and probes the cells of those neighbours of its point that it is closest to. What meets in a cell is compared by cosine, with
 8-bit components whose error is bounded: pairs that this decides are done, the few within the error are verified with the vectors themselves. Groups are the connected components.
+Cells shrink as vectors grow in number, and a table then finds fewer of the pairs; `layout` takes as many tables as make up for it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ COSINE = 0.9
 TABLES, PROBES = 4, 4
 #: Vectors that a cell of the lattice should hold on average, were they spread evenly: the scale of the projection follows from it.
 CELL = 24
+#: Share that the tables should find of pairs just at the threshold; nearer pairs are found more often. SIZES times CELL are the cells to choose from.
+RECALL = 0.95
+SIZES = (1, 4, 16, 64)
 KINDS = {"cell": np.uint64, "home": np.int8, "id": np.int64, "scale": np.float32, "error": np.float32, "q": np.int8}
 PACKED = "bucket int, cell binary, home binary, id binary, scale binary, error binary, q binary"
 
@@ -65,7 +69,45 @@ def scale_for(n: int, dim: int, cell: int = CELL) -> float:
     return max(1.0, n / cell) ** 0.125 * np.sqrt(dim) / np.sqrt(2 * np.pi * np.e)
 
 
+def neighbours(x: np.ndarray, own: np.ndarray, probes: int) -> np.ndarray:
+    """(rows, probes) of the roots that lead from the own points to those probed."""
+    return np.argpartition(-((x - own) @ ROOTS.T), probes - 1, axis=1)[:, :probes]
+
+
+def layout(n: int, dim: int, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, cell: int = CELL) -> tuple[int, float]:
+    """(tables, scale) for n vectors: `tables` or as many more as find RECALL of drawn pairs at `cosine`, with the cells for which placing and comparing costs least."""
+    if dim < 2 or not -1 < cosine < 1:
+        return tables, scale_for(n, dim, cell)
+    rng = np.random.default_rng(1)
+    u, w = (v / np.linalg.norm(v, axis=1)[:, None] for v in rng.standard_normal((2, 2000, dim)))
+    w -= (u * w).sum(axis=1)[:, None] * u
+    w = cosine * u + np.sqrt(1 - cosine**2) * w / np.linalg.norm(w, axis=1)[:, None]
+    best = None
+    p = projections(dim, tables)
+    for size in SIZES:
+        scale, cost = scale_for(n, dim, size * cell), 1 + size / 4  # comparing in cells of 4 * CELL takes about as long as placing
+        found, t = np.zeros(len(u), bool), 0
+        while (t < tables or found.mean() < RECALL) and (best is None or (t + 1) * cost < best[0]):
+            if t == len(p):
+                p = projections(dim, 2 * t)
+            x, y = u @ p[t] * scale, w @ p[t] * scale
+            a, b = nearest_e8(x), nearest_e8(y)
+            found |= (a == b).all(axis=1)
+            if probes:
+                for z, own, other in ((x, a, b), (y, b, a)):
+                    found |= (ROOTS[neighbours(z, own, probes)] == (other - own)[:, None]).all(axis=2).any(axis=1)
+            t += 1
+        if t >= tables and found.mean() >= RECALL and (best is None or t * cost < best[0]):
+            best = t * cost, t, scale
+    return best[1:]
+
+
 def _place(n: int, dim: int, tables: int, probes: int, scale: float):
+    def packed(rows, cells, home, ids, step, error, q) -> pa.RecordBatch:
+        rows, cells, home = map(np.concatenate, (rows, cells, home))
+        q = q[rows].view(f"V{dim}").ravel()
+        return pack((cells >> U(33)) % U(n), {"cell": cells, "home": home, "id": ids[rows], "scale": step[rows].astype(np.float32), "error": error[rows].astype(np.float32), "q": q})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = projections(dim, tables)
         for batch in batches:
@@ -77,19 +119,20 @@ def _place(n: int, dim: int, tables: int, probes: int, scale: float):
                 error = np.linalg.norm(v - q * step[:, None], axis=1) + 1e-6
                 rows, cells, home = [], [], []
                 for t in range(tables):
+                    if t and t % TABLES == 0:
+                        yield packed(rows, cells, home, ids, step, error, q)
+                        rows, cells, home = [], [], []
                     x = v @ p[t] * scale
                     own = nearest_e8(x)
                     rows.append(np.arange(len(ids)))
                     cells.append(cell_keys(own, t))
                     home.append(np.ones(len(ids), np.int8))
                     if probes:
-                        close = np.argpartition(-((x - own) @ ROOTS.T), probes - 1, axis=1)[:, :probes]
+                        close = neighbours(x, own, probes)
                         rows.append(np.repeat(np.arange(len(ids)), probes))
                         cells.append(cell_keys(np.repeat(own, probes, axis=0) + ROOTS[close.ravel()], t))
                         home.append(np.zeros(len(ids) * probes, np.int8))
-                rows, cells, home = map(np.concatenate, (rows, cells, home))
-                q = q[rows].view(f"V{dim}").ravel()
-                yield pack((cells >> U(33)) % U(n), {"cell": cells, "home": home, "id": ids[rows], "scale": step[rows].astype(np.float32), "error": error[rows].astype(np.float32), "q": q})
+                yield packed(rows, cells, home, ids, step, error, q)
 
     return run
 
@@ -148,13 +191,14 @@ def unit_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
 
 
 def near_pairs(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, cell: int = CELL, spanning: bool = False) -> DataFrame:
-    """(a, b), a < b, of (id, v) at cosine or above; spanning: only as many as connect what is connected."""
+    """(a, b), a < b, of (id, v) at cosine or above, by at least `tables` tables; spanning: only as many as connect what is connected."""
     spark, n = vectors.sparkSession, buckets(vectors.sparkSession)
     kinds = {r["d"]: r["n"] for r in vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
     found = spark.createDataFrame([], "a long, b long")
     for dim, count in sorted(kinds.items()):  # vectors of different length are never near
         some = vectors.where(F.size("v") == dim)
-        moved = some.mapInArrow(_place(n, dim, tables, probes, scale_for(count, dim, cell)), PACKED).repartitionById(n, "bucket")
+        wide, scale = layout(count, dim, cosine, tables, probes, cell)
+        moved = some.mapInArrow(_place(n, dim, wide, probes, scale), PACKED).repartitionById(n, "bucket")
         pairs = stored(moved.mapInArrow(_compare(dim, cosine, spanning), "a long, b long, sure boolean"), "pairs")
         open_ = pairs.where("not sure").select("a", "b").distinct()
         dot = F.aggregate(F.zip_with(F.col("x.v"), F.col("y.v"), lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)

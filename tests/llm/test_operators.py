@@ -191,6 +191,24 @@ def test_embedding_recall(spark):
     assert embeddings.near_duplicates(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n, dim", [(3_000, 64), (1_000_000, 64), (75_000_000, 64), (1_000_000, 384)])
+def test_embedding_recall_at_size(n, dim):
+    """Pairs just at the threshold, placed as among n vectors."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in rng.standard_normal((2, 600, dim)))
+    b -= (a * b).sum(1)[:, None] * a
+    b = 0.901 * a + np.sqrt(1 - 0.901**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    v = np.concatenate([a, b]).astype(np.float32)
+    tables, scale = embeddings.layout(n, dim)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(1200)), pa.array(list(v), pa.list_(pa.float32()))], names=["id", "v"])
+    moved = embeddings.unpack(list(embeddings._place(1, dim, tables, embeddings.PROBES, scale)([batch])), {**embeddings.KINDS})
+    left, right, _ = embeddings.near_in_cells(moved, dim, embeddings.COSINE)
+    found = {(i, j) for i, j in zip(left.tolist(), right.tolist()) if j == i + 600}
+    assert len(found) >= 0.9 * 600, (len(found), tables, scale)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(-3, 3), max_size=20))
 def test_best_region(xs):
