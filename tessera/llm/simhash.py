@@ -9,6 +9,9 @@ In each block the anchors are the words of a perfect Hamming code on 15 of the b
 with covering radius 1. Each fingerprint lies at its own anchor and is replicated to every anchor within the radius plus the
 block's share of the distance, 2, which are 8 or 9; fingerprints are compared at each anchor. No pair within the
 distance is missed, and there is no cap on partners.
+
+Distances from 16 to 23 leave a share of 2. Every value is an anchor then, and each fingerprint lies at the 17 within 1 of
+its own: two that differ in at most 2 bits of the block meet at one between them.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from tessera.llm._arrays import ALNUM, U, components, hash_sql, mix, mix_sql, pa
 from tessera.llm._shared import buckets, connected, stored
 
 DISTANCE = 15
-BLOCKS, BLOCK_BITS = 8, 16
+BLOCKS, BLOCK_BITS, LOWER = 8, 16, 8
 K1, K2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 KINDS = {"anchor": np.int32, "home": np.int8, "id": np.int64, "hi": np.uint64, "lo": np.uint64}
 PACKED = "bucket int, anchor binary, home binary, id binary, hi binary, lo binary"
@@ -76,7 +79,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return cut.mapInArrow(_fingerprints, "doc_id long, hi long, lo long")
 
 
-def _replicate(n: int):
+def _replicate_within(n: int):
+    """For a share of 2: a bucket has the values of equal upper half, so that a fingerprint goes to one for its own value, from where `near_pairs` places it at those that differ in the lower half, and to 8 others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = np.array([0, *(1 << i for i in range(LOWER, BLOCK_BITS))])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 10_000):
+                some = batch.slice(at, 10_000)
+                ids, hi, lo = (some.column(k).to_numpy() for k in (0, 1, 2))
+                blocks = np.stack([hi, lo], axis=1).view(np.uint16).astype(np.int64)
+                anchor = ((blocks[:, :, None] ^ masks) + (np.arange(BLOCKS) << BLOCK_BITS)[:, None]).ravel().astype(np.int32)
+                rows = np.repeat(np.arange(len(ids)), BLOCKS * len(masks))
+                home = np.tile(masks == 0, len(ids) * BLOCKS).astype(np.int8)
+                yield pack((anchor >> LOWER) % n, {"anchor": anchor, "home": home, "id": ids[rows], "hi": hi[rows], "lo": lo[rows]})
+
+    return run
+
+
+def _replicate(n: int, distance: int = DISTANCE):
+    if distance >= 2 * BLOCKS:
+        return _replicate_within(n)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, bounds, near, anchors = covering()
         for batch in batches:
@@ -101,11 +125,44 @@ def _replicate(n: int):
     return run
 
 
+def _pairs_of_all(cuts, ids, hi, lo, distance: int, small: int = 64) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Pairs within the distance, each fingerprint compared with those after it at its anchor; cuts bound the anchors."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(i, j):
+        left.append(np.minimum(ids[i], ids[j]))
+        right.append(np.maximum(ids[i], ids[j]))
+
+    sizes = np.diff(cuts)
+    end = np.repeat(cuts[1:], sizes)
+    at, k = np.flatnonzero(np.repeat(sizes <= small, sizes)), 1
+    while len(at := at[at + k < end[at]]):
+        i = at[np.bitwise_count(hi[at] ^ hi[at + k]).astype(np.int16) + np.bitwise_count(lo[at] ^ lo[at + k]) <= distance]
+        add(i, i + k)
+        k += 1
+    for s, e in zip(cuts[:-1][sizes > small], cuts[1:][sizes > small]):
+        step = max(1, min((e - s + 3) // 4, 2_000_000 // (e - s)))
+        for at in range(s, e, step):
+            to = min(e, at + step)
+            apart = np.bitwise_count(hi[at:to, None] ^ hi[None, at:e]).astype(np.int16) + np.bitwise_count(lo[at:to, None] ^ lo[None, at:e])
+            i, j = np.nonzero(apart <= distance)
+            keep = i < j
+            add(at + i[keep], at + j[keep])
+    return left, right
+
+
 def near_pairs(anchor, home, ids, hi, lo, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within the distance among the fingerprints of some anchors."""
+    """Pairs within the distance among the fingerprints of some anchors: of those at home with the others, or for a share of 2, of all."""
+    wide = distance >= 2 * BLOCKS
+    if wide:
+        rows = np.concatenate([np.arange(len(anchor)), np.repeat(np.flatnonzero(home), LOWER)])
+        flip = np.concatenate([np.zeros(len(anchor), np.int32), np.tile(1 << np.arange(LOWER, dtype=np.int32), int(np.count_nonzero(home)))])
+        anchor, home, ids, hi, lo = anchor[rows] ^ flip, home[rows], ids[rows], hi[rows], lo[rows]
     order = np.lexsort((home, anchor))
     anchor, home, ids, hi, lo = anchor[order], home[order], ids[order], hi[order], lo[order]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1, [len(anchor)]]) if len(anchor) else np.zeros(1, np.int64)
+    if wide:
+        return tuple(map(np.concatenate, _pairs_of_all(cuts, ids, hi, lo, distance)))
     homes = np.concatenate([[0], np.cumsum(home)])
     left, right = [], []
     for s, e in zip(cuts[:-1], cuts[1:]):
@@ -143,15 +200,15 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     Documents without a near duplicate, with a null id, or with a null or wordless text are in no group. doc_id names the document:
     rows that repeat it are one document, whose fingerprint is the least of theirs. Other columns are not looked at.
     """
-    if not 0 <= distance < 2 * BLOCKS:
-        raise ValueError(f"distance must be within 0 and {2 * BLOCKS - 1}")
+    if not 0 <= distance < 3 * BLOCKS:
+        raise ValueError(f"distance must be within 0 and {3 * BLOCKS - 1}")
     spark = docs.sparkSession
     prints = fingerprints(docs, id_col, text_col).where("doc_id is not null and hi is not null")
     prints = prints.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("p"))
     prints = stored(prints.select("doc_id", "p.*"), "fingerprints")
     distinct = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"))
     n = buckets(spark)
-    moved = distinct.select("id", "hi", "lo").mapInArrow(_replicate(n), PACKED)
+    moved = distinct.select("id", "hi", "lo").mapInArrow(_replicate(n, distance), PACKED)
     edges = moved.repartitionById(n, "bucket").mapInArrow(_compare(distance), "a long, b long")
     root = connected(edges)
     owner = prints.join(distinct, ["hi", "lo"]).select("doc_id", "id")

@@ -93,6 +93,42 @@ def test_simhash_pairs_are_complete():
     assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if apart[i, j] <= 15}
 
 
+@pytest.mark.parametrize("distance", [16, 20, 23])
+def test_simhash_pairs_are_complete_beyond_a_share_of_1(distance):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, (60, 2), np.int64).view(np.uint64)
+    x = np.concatenate([base, base, base, base[:1].repeat(90, 0)])  # the last share their anchors
+    for k in range(60, len(x)):
+        for b in rng.choice(128, (distance - 1, distance, distance + 1)[k % 3], replace=False):
+            x[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), *(pa.array(x[:, k].view(np.int64)) for k in (0, 1))], names=["id", "hi", "lo"])
+    moved = simhash.unpack(list(simhash._replicate(1, distance)([batch])), simhash.KINDS)
+    a, b = simhash.near_pairs(moved["anchor"], moved["home"], moved["id"], moved["hi"].view(np.uint64), moved["lo"].view(np.uint64), distance)
+    apart = np.bitwise_count(x[:, None, :] ^ x[None]).sum(2)
+    assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if apart[i, j] <= distance}
+
+
+def test_simhash_finds_edited_texts(spark):
+    """Against the Jaccard similarity of 3-grams, of texts of common and rare words with words changed."""
+    rng = random.Random(8)
+    vocabulary, texts = [f"w{k}" for k in range(5000)], []
+    weights = [1 / (k + 20) for k in range(5000)]
+    for k in range(150):
+        ws = rng.choices(vocabulary, weights, k=rng.randrange(60, 900))
+        edited = list(ws)
+        for at in rng.sample(range(len(ws)), int(len(ws) * rng.uniform(0.02, 0.08))):
+            edited[at] = rng.choice(vocabulary)
+        texts += [" ".join(ws), " ".join(edited)]
+    grams = [set(zip(w, w[1:], w[2:])) for w in map(str.split, texts)]
+    alike = {(i, j): len(grams[i] & grams[j]) / len(grams[i] | grams[j]) for i in range(len(texts)) for j in range(i + 1, len(texts))}
+    want = {p for p, s in alike.items() if s >= 0.6}
+    group = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(table(spark, texts), 20).collect()}
+    got = {(i, j) for i, j in alike if i in group and group[i] == group.get(j)}
+    assert len(want) > 100 and len(want & got) >= 0.95 * len(want) and all(alike[p] >= 0.2 for p in got), (len(want), len(want & got), len(got))
+
+
 def test_bpe_is_exact(spark):
     texts = corpus() + ["don't  stop\n\n  now 123abc <|endoftext|>", "😀é" * 3000, "a" * 5000, words(random.Random(9), 5000)]
     plain = bpe.encoding(bpe.VOCABULARY)
