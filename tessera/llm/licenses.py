@@ -116,6 +116,53 @@ def stretches(n: int, m: int) -> list[tuple[int, int]]:
     return [(s, min(n, s + size)) for s in range(0, max(1, n - size + step), step)]
 
 
+def common_length(text: Sequence, places: dict, m: int) -> int:
+    """Length of the longest common subsequence with a template of m words, a bit for each; places has the bits of each word."""
+    full = row = (1 << m) - 1
+    for w in text:
+        if w in places:
+            u = row & places[w]
+            row = ((row + u) | (row - u)) & full
+    return m - row.bit_count()
+
+
+def spread(text: Sequence, template: Sequence, least: int) -> tuple[int, int, int] | None:
+    """(words, first word, last word + 1) of the longest common subsequence of at least `least` words that has no two neighbours further apart in the text than half a template, the first of such."""
+    m, best = len(template), None
+    reach = max(2, (m + 1) // 2)
+    places: dict = {}
+    for i, w in enumerate(template):
+        places[w] = places.get(w, 0) | 1 << i
+    columns = {w: np.array([i for i in range(m) if b >> i & 1]) for w, b in places.items()}
+    hits = [j for j, w in enumerate(text) if w in places]
+    cuts = [0, *(k for k in range(1, len(hits)) if hits[k] - hits[k - 1] > reach), len(hits)]
+    for s, e in zip(cuts, cuts[1:]):
+        run = hits[s:e]
+        if e - s < least or common_length([text[j] for j in run], places, m) < least:
+            continue
+        # rows of the last `reach` words: the best, over subsequences that end there, of length << 32 | start, for each end in the template or one before
+        old, behind = [], []  # a queue of two stacks, with the maxima of each
+        newest = np.zeros(m + 1, np.int64)
+        for j in run:
+            while (old[-1][0] if old else behind[0][0] if behind else j) < j - reach:
+                if not old:
+                    tops = np.maximum.accumulate(np.stack([r for _, r in reversed(behind)]))
+                    old, behind = [(k, top) for (k, _), top in zip(reversed(behind), tops)], []
+                    newest = np.zeros(m + 1, np.int64)
+                old.pop()
+            before = np.maximum(newest, old[-1][1]) if old else newest
+            at = columns[text[j]]
+            row = np.zeros(m + 1, np.int64)
+            row[at + 1] = np.where(before[at] > 0, before[at], j) + (1 << 32)
+            top = int(row.max())
+            if top >> 32 >= least:
+                best, least = (top >> 32, top & 0xFFFFFFFF, j + 1), (top >> 32) + 1
+            row = np.maximum.accumulate(row)
+            behind.append((j, row))
+            newest = np.maximum(newest, row)
+    return best
+
+
 def best_match(text: Sequence, template: Sequence, threshold: float = COVERAGE) -> tuple[float, int, int] | None:
     """(coverage, first word, last word + 1) of the best alignment at or above the threshold, the first of such."""
     n, m, best, need = len(text), len(template), None, Counter(template)
@@ -135,6 +182,10 @@ def best_match(text: Sequence, template: Sequence, threshold: float = COVERAGE)
         if not consider(s, e):
             for t in range(s, max(s + 1, e - m + 1), max(1, m // 8)):
                 consider(t, min(e, t + m))
+    if m and (best is None or best[0] < 1):
+        wide = spread(text, template, max(1, int(np.ceil(threshold * m - 1e-9)), round(best[0] * m) + 1 if best else 0))
+        if wide:
+            best = (wide[0] / m, *wide[1:])
     return best
 
 

@@ -193,6 +193,37 @@ def test_licenses(spark):
     assert licenses.scan(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("inserted, changed", [(0.3, 0.1), (0.3, 0.15), (0.5, 0.1), (0.1, 0.15), (1.0, 0.0)])
+def test_spread_licenses(inserted, changed):
+    """Copies with words put in and changed, wherever they lie in the text; far words of a template are none."""
+    rng = random.Random(5)
+    for name in ("MIT", "Apache-2.0-header", "GPL-3.0-header"):
+        template = licenses.template_words(licenses.TEMPLATES[name])
+        other = set(rng.sample(range(len(template)), int(changed * len(template))))
+        for offset in range(0, 200, 23):
+            copy = []
+            for k, w in enumerate(template):
+                copy += [f"x{k}" if k in other else w] + [f"y{k}"] * (rng.random() < inserted)
+            text = words(rng, offset).split() + copy + words(rng, 300).split()
+            coverage, first, last = licenses.best_match(text, template)
+            assert coverage >= 1 - len(other) / len(template) - 1e-9 and first >= offset and last <= offset + len(copy)
+    assert licenses.best_match("all the other rights are long since reserved".split(), "all rights reserved".split()) is None
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=18), st.lists(st.integers(0, 3), min_size=1, max_size=8))
+def test_spread_is_the_longest_common_subsequence_within_reach(text, template):
+    reach, best, ends = max(2, (len(template) + 1) // 2), 0, {}
+    for j, w in enumerate(text):
+        for i, t in enumerate(template):
+            if w == t:
+                ends[i, j] = 1 + max((c for (x, y), c in ends.items() if x < i and j - reach <= y < j), default=0)
+                best = max(best, ends[i, j])
+    got = licenses.spread(text, template, 1)
+    assert (got[0] if got else 0) == best
+    assert got is None or (text[got[1]] in template and text[got[2] - 1] in template)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=25), st.lists(st.integers(0, 6), max_size=25))
 def test_alignment_is_a_common_subsequence(a, b):
