@@ -40,7 +40,7 @@ def _headers(filings: DataFrame, nodes: DataFrame, form: Form) -> DataFrame:
     """All texts that match, of text nodes first and of elements after them, with the flag page_reference."""
     by_node = nodes.select(KEY, F.lit(0).alias("pass"), F.col("node_idx").alias("place"), "node_idx", "text", "in_a", "in_table")
     by_tag = elements(filings, form.longest_header, KEY).select(KEY, F.lit(1).alias("pass"), F.col("tag_order").alias("place"), "node_idx", "text", "in_a", "in_table")
-    short = by_node.where(F.length("text") <= 10 * form.longest_header).unionAll(by_tag).withColumn("text", collapse(F.col("text")))
+    short = by_node.where(F.col("text").rlike("(?iu)item")).unionAll(by_tag).withColumn("text", collapse(F.col("text")))
     short = short.where((F.length("text") <= form.longest_header) & F.col("text").rlike("(?iu)item"))
     hit = short.select("*", F.inline(_matches(F.col("text"), form)))
     reference = F.col("text").rlike(f"(?iu){PAGE_REFERENCE}") if form.page_references else F.lit(False)

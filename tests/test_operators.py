@@ -95,6 +95,11 @@ def test_linked_reference_is_not_chosen(spark):
     assert split(spark, paras(20) + f'<a href="#x">{HEAD["7"]}</a>' + paras(90))["7"]["words"] == 274
 
 
+def test_header_with_much_inner_space(spark):
+    f = filing(spark, paras(20) + "<div>Item 1A." + " \n" * 2000 + "Risk Factors</div>" + paras(90))
+    assert [(r["item"], r["text"]) for r in S.candidates(f).collect()] == [("1A", "Item 1A. Risk Factors")]
+
+
 def test_combined_header(spark):
     got = split(spark, paras(20) + "<div>Items 1 and 2. Business and Properties</div>" + paras(90))
     assert got["2"]["text"] == got["1"]["text"] and got["2"]["combined"] and got["2"]["place"] is None
