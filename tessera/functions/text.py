@@ -5,6 +5,9 @@ White space is Python's, in Java's and in DuckDB's patterns alike.
 
 from __future__ import annotations
 
+import html
+from html import entities
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +51,6 @@ NOISE_PATTERN = "|".join(f"(?:{p})" for p in NOISE.values())
 STEM_PATTERN = "|".join(STEMS)
 LEAST_WORDS, MOST_WORDS, LEAST_ALPHA = 8, 120, 0.45
 
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&")]
-
-
 def barrier(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     """df with more columns that are computed once, however often they are used: projections above a generator aren't merged into it."""
     return df.select(*df.columns, F.inline(F.array(F.struct(*(c.alias(k) for k, c in cols.items())))))
@@ -92,12 +92,6 @@ def financial_sentences(text: Column) -> Column:
     return F.filter(strict_sentences(text), is_financial)
 
 
-def decode_entities(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
-
-
 # --- the same in DuckDB's SQL ------------------------------------------------------------------------------------------------
 
 def q(s: str) -> str:
@@ -133,7 +127,23 @@ def is_financial_sql(s: str) -> str:
     )
 
 
+def _map_sql(pairs: dict) -> str:
+    return "MAP {" + ", ".join(f"{q(k) if isinstance(k, str) else k}: {q(v)}" for k, v in pairs.items()) + "}"
+
+
 def decode_entities_sql(t: str) -> str:
-    for name, char in ENTITIES:
-        t = f"replace({t}, {q(name)}, {q(char)})"
-    return t
+    """All entities of HTML 5, with and without a semicolon, decimal and hexadecimal, as Python's html.unescape."""
+    odd = {n: html.unescape(f"&#{n};") for n in (*range(160), *range(0xFDD0, 0xFDF0), *(p << 16 | x for p in range(17) for x in (0xFFFE, 0xFFFF)))}
+    odd = {n: c for n, c in odd.items() if c != chr(n)}
+    bare = "|".join(sorted((k for k in entities.html5 if k[-1] != ";"), key=lambda k: (-len(k), k)))
+    number = r"CASE WHEN regexp_matches(p, '^#[xX]') THEN TRY_CAST('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]+)', 1) AS BIGINT) ELSE TRY_CAST(regexp_extract(p, '^#([0-9]+)', 1) AS BIGINT) END"
+    char = f"(CASE WHEN n IS NULL OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN chr(65533) WHEN n IN ({', '.join(map(str, odd))}) THEN {_map_sql(odd)}[n] ELSE chr(n::INT) END)"
+    name = r"regexp_extract(p, '^[^\t\n\f <&#;]{1,32};?')"
+    known = f"{_map_sql(entities.html5)}"
+    piece = (
+        r"CASE WHEN regexp_matches(p, '^#([0-9]+|[xX][0-9a-fA-F]+)') "
+        f"THEN list_transform([{number}], lambda n: {char})[1] || regexp_replace(p, '^#([0-9]+|[xX][0-9a-fA-F]+);?', '') "
+        f"WHEN map_contains({known}, {name}) THEN {known}[{name}] || substr(p, length({name}) + 1) "
+        f"WHEN regexp_matches(p, '^(?:{bare})') THEN {known}[regexp_extract(p, '^(?:{bare})')] || regexp_replace(p, '^(?:{bare})', '') ELSE '&' || p END"
+    )
+    return f"CASE WHEN contains({t}, '&') THEN list_transform([string_split({t}, '&')], lambda x: array_to_string(list_concat([x[1]], list_transform(x[2:], lambda p: {piece})), ''))[1] ELSE {t} END"

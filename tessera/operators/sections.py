@@ -1,147 +1,113 @@
 """Splitting filings into items: header candidates, their rank, assembly, retry, repair and verdicts; annual and current reports alike.
 
-Filings are rows (filing_id, html). Everything is keyed by filing_id, so that one shuffle serves the windows. Only filings that need a retry or a repair go to Python.
+Filings are rows (filing_id, html). A filing is walked once, in one Arrow pass that gives a row with all that was found (`split_filings`); whatever else is asked for is an
+expression on that row. Nothing is shuffled, as no step looks at two filings. Rows with a null id go; a null or empty page has no header, and fails. Rows that repeat an id
+are filings of their own.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.config import ANNUAL, COMBINED, CURRENT, EVENT_LABELS, EXHIBITS, PAGE_REFERENCE, TRAILING_DIGITS, Form
-from tessera.functions.text import collapse, word_count
-from tessera.operators.html import elements, text_nodes
+from tessera.operators.html import SLICE, short_elements, walk
 
 KEY = "filing_id"
+HEADER = [("item_ord", pa.int32()), ("item", pa.string()), ("node_idx", pa.int32()), ("text", pa.string())] + [
+    (c, pa.bool_()) for c in ("is_link", "in_table", "is_toc_region", "has_trailing_digits", "is_combined")
+] + [("suspicion", pa.int32()), ("rank", pa.int32())]
+SECTION = [("item_ord", pa.int32()), ("item", pa.string()), ("start_idx", pa.int32()), ("place", pa.int32()), ("text", pa.string()), ("words", pa.int32()), ("combined", pa.bool_())]
+_sql_kind = {pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean"}
+_struct = lambda fields: "array<struct<" + ",".join(f"{n}:{_sql_kind[t]}" for n, t in fields) + ">>"
+SPLIT = f"n_nodes int, headers {_struct(HEADER)}, page_references array<string>, sections {_struct(SECTION)}, found array<string>, order_correct boolean, earliest_match_pct double"
+_digits, _reference, _mentions = re.compile(TRAILING_DIGITS), re.compile(PAGE_REFERENCE, re.I), re.compile("item", re.I)
 
 
-def _matches(text: Column, form: Form) -> Column:
-    """Array of (item_ord, item, pattern): the items that a text is a header of, with the first pattern that matches."""
-    found = []
+@cache
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern, re.I)
+
+
+def matches(text: str, form: Form) -> list[tuple[int, str, int]]:
+    """(item_ord, item, pattern) of the items that a text is a header of, with the first pattern that matches."""
+    out = []
     for k, (item, patterns) in enumerate(form.patterns.items()):
-        case = None
-        for p, pattern in enumerate(patterns):
-            case = (F if case is None else case).when(text.rlike(f"(?iu){pattern}"), F.lit(p))
-        found.append(F.struct(F.lit(k).alias("item_ord"), F.lit(item).alias("item"), case.alias("pattern")))
-    hits = F.filter(F.array(*found), lambda x: x["pattern"].isNotNull())
-    if form.one_item_a_text:
-        hits = F.slice(hits, 1, 1)
-    if form.generic:
-        number = F.regexp_extract(text, f"(?iu){form.generic}", 1)
-        other = F.array(F.struct(F.lit(len(form.patterns)).alias("item_ord"), number.alias("item"), F.lit(-1).alias("pattern")))
-        hits = F.when(F.size(hits) > 0, hits).when(number != "", other)
-    return hits
-
-
-def _headers(filings: DataFrame, nodes: DataFrame, form: Form) -> DataFrame:
-    """All texts that match, of text nodes first and of elements after them, with the flag page_reference."""
-    by_node = nodes.select(KEY, F.lit(0).alias("pass"), F.col("node_idx").alias("place"), "node_idx", "text", "in_a", "in_table")
-    by_tag = elements(filings, form.longest_header, KEY).select(KEY, F.lit(1).alias("pass"), F.col("tag_order").alias("place"), "node_idx", "text", "in_a", "in_table")
-    short = by_node.where(F.col("text").rlike("(?iu)item")).unionAll(by_tag).withColumn("text", collapse(F.col("text")))
-    short = short.where((F.length("text") <= form.longest_header) & F.col("text").rlike("(?iu)item"))
-    hit = short.select("*", F.inline(_matches(F.col("text"), form)))
-    reference = F.col("text").rlike(f"(?iu){PAGE_REFERENCE}") if form.page_references else F.lit(False)
-    return hit.withColumn("page_reference", reference)
-
-
-def candidates(filings: DataFrame, form: Form = ANNUAL, nodes: DataFrame | None = None) -> DataFrame:
-    """One row for each item and node, with its signals and rank (null for links where others are)."""
-    nodes = text_nodes(filings, id_col=KEY) if nodes is None else nodes
-    first = Window.partitionBy(KEY, "item", "node_idx").orderBy("pass", "place")
-    one = _headers(filings, nodes, form).where("not page_reference").withColumn("k", F.row_number().over(first)).where("k = 1")
-    total = nodes.groupBy(KEY).agg(F.count("*").alias("n_nodes"))
-    rows = one.join(total, KEY).select(
-        KEY, "item_ord", "item", "node_idx", "n_nodes", "text", F.col("in_a").alias("is_link"), "in_table",
-        (F.col("node_idx") / F.col("n_nodes") < form.toc).alias("is_toc_region"),
-        F.col("text").rlike(TRAILING_DIGITS).alias("has_trailing_digits"),
-        ((F.col("item") == "1") & F.col("pattern").isin(*COMBINED)).alias("is_combined"),
-    )
-    each = Window.partitionBy(KEY, "item")
-    rows = rows.withColumn("usable", ~F.col("is_link") | ~F.max(~F.col("is_link")).over(each))
-    suspicion = F.col("in_table").cast("int") + F.col("has_trailing_digits").cast("int") + F.col("is_toc_region").cast("int")
-    rows = rows.withColumn("suspicion", suspicion)
-    rank = F.row_number().over(each.orderBy(F.desc("usable"), "suspicion", "node_idx"))
-    return rows.withColumn("rank", F.when(F.col("usable"), rank)).drop("usable")
-
-
-def page_references(filings: DataFrame, form: Form = ANNUAL) -> DataFrame:
-    """(filing_id, item, hits)."""
-    return _headers(filings, text_nodes(filings, id_col=KEY), form).where("page_reference").groupBy(KEY, "item").agg(F.count("*").alias("hits"))
-
-
-def far_filings(cands: DataFrame, form: Form = ANNUAL) -> DataFrame:
-    """(filing_id, earliest_match_pct) of filings whose content is elsewhere: the best header of every item lies past the threshold."""
-    best = cands.where("rank = 1").groupBy(KEY).agg(F.min(F.col("node_idx") / F.col("n_nodes")).alias("at"))
-    return best.where(F.col("at") > (form.far if form.far is not None else 2.0)).select(KEY, F.round(100 * F.col("at"), 1).alias("earliest_match_pct"))
-
-
-def assemble(nodes: DataFrame, chosen: DataFrame, form: Form = ANNUAL) -> DataFrame:
-    """(filing_id, item_ord, item, start_idx, text, words, combined). Each header is carried forward to the next one, without a join by range; of several at one node the last has the text, the others are ''."""
-    chosen = chosen.select(KEY, "item_ord", "item", F.col("node_idx").alias("start_idx"), "is_combined")
-    order = F.struct("item_ord", "item")
-    marks = chosen.groupBy(KEY, F.col("start_idx").alias("node_idx")).agg(F.max(order).alias("mark"))
-    w = Window.partitionBy(KEY).orderBy("node_idx").rowsBetween(Window.unboundedPreceding, 0)
-    carried = nodes.select(KEY, "node_idx", "text").join(marks, [KEY, "node_idx"], "left").withColumn("mark", F.last("mark", ignorenulls=True).over(w)).where("mark is not null")
-    bodies = carried.groupBy(KEY, F.col("mark.item").alias("item")).agg(F.array_sort(F.collect_list(F.struct("node_idx", "text"))).alias("x"))
-    bodies = bodies.select(KEY, "item", collapse(F.array_join(F.col("x.text"), " ")).alias("body"))
-    out = chosen.join(bodies, [KEY, "item"], "left").select(KEY, "item_ord", "item", "start_idx", F.coalesce("body", F.lit("")).alias("text"), (F.col("is_combined") & (F.col("item") == "1")).alias("combined"))
-    out = out.where(F.col("item") != (form.boundary_only or ""))
-    if form is ANNUAL:
-        one = Window.partitionBy(KEY)
-        flagged = out.withColumn("c", F.max("combined").over(one)).withColumn("has2", F.max(F.col("item") == "2").over(one))
-        copy = F.when((F.col("item") == "1") & F.col("c") & ~F.col("has2"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        out = flagged.withColumn("k", F.explode(copy)).select(
-            KEY,
-            F.when(F.col("k") == 1, F.lit(ANNUAL.order.index("2"))).otherwise(F.col("item_ord")).alias("item_ord"),
-            F.when(F.col("k") == 1, F.lit("2")).otherwise(F.col("item")).alias("item"),
-            F.when(F.col("k") == 0, F.col("start_idx")).alias("start_idx"),
-            "text",
-            F.col("c").alias("combined"),
-        )
-    return out.withColumn("words", word_count(F.col("text")))
-
-
-def split(filings: DataFrame, form: Form = ANNUAL) -> DataFrame:
-    """Sections by the best headers, without retry and repair; filings whose content is elsewhere have none."""
-    nodes = text_nodes(filings, id_col=KEY)
-    cands = candidates(filings, form, nodes)
-    chosen = cands.where("rank = 1")
-    if form.far is not None:
-        chosen = chosen.join(far_filings(cands, form).select(KEY), KEY, "left_anti")
-    return assemble(nodes, chosen, form)
-
-
-# --- retry and repair, filing by filing -------------------------------------------------------------------------------------
+        p = next((p for p, pattern in enumerate(patterns) if _compiled(pattern).search(text)), None)
+        if p is not None:
+            out.append((k, item, p))
+            if form.one_item_a_text:
+                break
+    if not out and form.generic and (m := _compiled(form.generic).search(text)):
+        out.append((len(form.patterns), m[1], -1))
+    return out
+
+
+def find_headers(nodes: list[tuple], elements: list[list], form: Form) -> tuple[list[dict], list[str]]:
+    """(candidates, one for each item and node, with signals and rank; the items of references to pages, one for each text). Text nodes come before elements; rank is null for links where others are."""
+    texts = [(k, text, in_a, in_table) for k, (text, in_a, in_table, _) in enumerate(nodes)]
+    texts += [(first, text, in_a, in_table) for _, _, first, text, in_a, in_table in short_elements(nodes, elements, form.longest_header)]
+    found: dict[tuple[str, int], dict] = {}
+    references = []
+    for node, raw, in_a, in_table in texts:
+        if not _mentions.search(raw):
+            continue
+        text = " ".join(raw.split())
+        if len(text) > form.longest_header:
+            continue
+        to_pages = form.page_references and _reference.search(text)
+        for item_ord, item, pattern in matches(text, form):
+            if to_pages:
+                references.append(item)
+            elif (item, node) not in found:
+                toc, digits = node / len(nodes) < form.toc, bool(_digits.search(text))
+                found[item, node] = {
+                    "item_ord": item_ord, "item": item, "node_idx": node, "text": text, "is_link": in_a, "in_table": in_table, "is_toc_region": toc, "has_trailing_digits": digits,
+                    "is_combined": item == "1" and pattern in COMBINED, "suspicion": in_table + digits + toc, "rank": None,
+                }
+    for item in {i for i, _ in found}:
+        own = [c for c in found.values() if c["item"] == item]
+        usable = [c for c in own if not c["is_link"]] or own
+        for rank, c in enumerate(sorted(usable, key=lambda c: (c["suspicion"], c["node_idx"])), 1):
+            c["rank"] = rank
+    return list(found.values()), references
+
 
 def _n_words(text: str) -> int:
     return len(text.split())
 
 
-def _build(texts: list[str], ranked: dict[str, list], at: dict[str, int]):
-    chosen = sorted(((ranked[i][at[i]], ANNUAL.order.index(i), i) for i in at), key=lambda x: (x[0]["node_idx"], x[1]))
+def build(texts: list[str], chosen: list[dict], form: Form = ANNUAL) -> tuple[dict[str, str], list[dict], bool]:
+    """(text of each item, headers by place, combined). A section ends where the next begins; of several headers at one node the last has the text, the others ''."""
+    chosen = sorted(chosen, key=lambda c: (c["node_idx"], c["item_ord"], c["item"]))
     out, combined = {}, False
-    for k, (c, _, item) in enumerate(chosen):
-        if item == ANNUAL.boundary_only:
+    for k, c in enumerate(chosen):
+        if c["item"] == form.boundary_only:
             continue
-        end = chosen[k + 1][0]["node_idx"] if k + 1 < len(chosen) else len(texts)
-        out[item] = " ".join(" ".join(texts[c["node_idx"] : end]).split())
-        combined |= item == "1" and bool(c["is_combined"])
+        end = chosen[k + 1]["node_idx"] if k + 1 < len(chosen) else len(texts)
+        out[c["item"]] = " ".join(" ".join(texts[c["node_idx"] : end]).split())
+        combined |= c["is_combined"]
     if combined and "1" in out:
         out.setdefault("2", out["1"])
-    return out, [i for _, _, i in chosen if i != ANNUAL.boundary_only], combined
+    return out, [c for c in chosen if c["item"] != form.boundary_only], combined
 
 
-def _ordered(items: list[str]) -> bool:
-    return items == sorted(items, key=ANNUAL.order.index)
+def _ordered(found: list[dict]) -> bool:
+    """X11."""
+    ords = [c["item_ord"] for c in found]
+    return ords == sorted(ords)
 
 
-def settle(texts: list[str], ranked: dict[str, list], retries: int = 4):
-    """X12, X13 of one filing: (sections, items by place, combined). ranked: candidates of each item, the best first."""
+def settle(texts: list[str], ranked: dict[str, list[dict]], retries: int = 4) -> tuple[dict[str, str], list[dict], bool]:
+    """X12, X13 of an annual report, as `build`. ranked: candidates of each item, the best first. Item by item, one below its bound tries its next headers; the first that reaches it is taken unless it spoils the order."""
     at = {i: 0 for i in ranked if ranked[i]}
-    sections, found, combined = _build(texts, ranked, at)
+    pick = lambda at: build(texts, [ranked[i][k] for i, k in at.items()])
+    sections, found, combined = pick(at)
     fine = _ordered(found)
     for item in [i for i in ANNUAL.order if i in sections]:
         options = ranked.get(item, [])
@@ -151,7 +117,7 @@ def settle(texts: list[str], ranked: dict[str, list], retries: int = 4):
         if _n_words(sections[item]) >= least:
             continue
         for k in range(at[item] + 1, min(len(options), at[item] + 1 + retries)):
-            trial, order, both = _build(texts, ranked, at | {item: k})
+            trial, order, both = pick(at | {item: k})
             if _n_words(trial.get(item, "")) >= least and (_ordered(order) or not fine):
                 at[item], sections, found, combined, fine = k, trial, order, both, _ordered(order)
                 break
@@ -171,7 +137,7 @@ def repair(sections: dict[str, str], combined: bool) -> dict[str, str]:
         for later in ANNUAL.order[k + 1 :]:
             if later == ANNUAL.boundary_only:
                 continue
-            starts = [m.start() for p in ANNUAL.patterns[later] for m in re.finditer(p, text, re.I) if m.start() > 100]
+            starts = [m.start() for p in ANNUAL.patterns[later] for m in _compiled(p).finditer(text) if m.start() > 100]
             past = [s for s in starts if s >= 5 * most]
             if past:
                 cut = (min(past), later)
@@ -185,91 +151,125 @@ def repair(sections: dict[str, str], combined: bool) -> dict[str, str]:
     return out
 
 
-def _settled(key, nodes: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
-    texts = nodes.sort_values("node_idx")["text"].tolist()
-    ranked = {i: g.sort_values("rank").to_dict("records") for i, g in cands.groupby("item")}
-    # items in their order, as ties at a node go by it
-    sections, found, combined = settle(texts, {i: ranked[i] for i in ANNUAL.order if i in ranked})
-    return pd.DataFrame(
-        [(key[0], ANNUAL.order.index(i), i, found.index(i) if i in found else None, t, combined, _ordered(found)) for i, t in sections.items()],
-        columns=[KEY, "item_ord", "item", "place", "text", "combined", "order_correct"],
-    ).astype({"place": "Int64"})
+def split_page(page: str | None, form: Form = ANNUAL, retry: bool = False) -> tuple:
+    """One filing as a row of SPLIT."""
+    nodes, elements = walk(page)
+    headers, references = find_headers(nodes, elements, form)
+    best = [c for c in headers if c["rank"] == 1]
+    earliest = min((c["node_idx"] / len(nodes) for c in best), default=0.0)
+    if form.far is not None and earliest > form.far:
+        return len(nodes), headers, references, [], [], True, round(100 * earliest, 1)
+    texts = [n[0] for n in nodes]
+    if retry:
+        ranked = {i: sorted((c for c in headers if c["item"] == i and c["rank"]), key=lambda c: c["rank"]) for i in form.order}
+        sections, found, combined = settle(texts, ranked)
+    else:
+        sections, found, combined = build(texts, best, form)
+    place = {c["item"]: k for k, c in enumerate(found)}
+    order = {i: k for k, i in enumerate(form.order)}
+    rows = []
+    for item, text in sections.items():
+        k = place.get(item)
+        rows.append({"item_ord": order.get(item, len(order)), "item": item, "start_idx": None if k is None else found[k]["node_idx"], "place": k, "text": text, "words": _n_words(text), "combined": combined})
+    return len(nodes), headers, references, rows, [c["item"] for c in found], _ordered(found), None
+
+
+def _split(form: Form, retry: bool):
+    kinds = [pa.int32(), pa.list_(pa.struct(HEADER)), pa.list_(pa.string()), pa.list_(pa.struct(SECTION)), pa.list_(pa.string()), pa.bool_(), pa.float64()]
+    names = ["n_nodes", "headers", "page_references", "sections", "found", "order_correct", "earliest_match_pct"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                some = batch.slice(at, SLICE)
+                rows = [split_page(page.as_py(), form, retry) for page in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["id", *names])
+
+    return run
+
+
+def split_filings(filings: DataFrame, form: Form = ANNUAL, retry: bool = False, id_col: str = KEY, html_col: str = "html") -> DataFrame:
+    """A row for each filing, (filing_id, n_nodes, headers, page_references, sections, found, order_correct, earliest_match_pct).
+
+    headers: all candidates; sections: of the best headers, with retry and repair where asked for; found: items of the headers that were chosen, by place. A filing whose content is elsewhere (X8: the best
+    header of every item lies past the threshold) has no sections and has earliest_match_pct. start_idx and place are null for text that a repair moved or a combined header lent.
+    """
+    cut = filings.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    return cut.mapInArrow(_split(form, retry), f"id {dict(cut.dtypes)['id']}, {SPLIT}").withColumnRenamed("id", KEY)
+
+
+def candidates(split: DataFrame) -> DataFrame:
+    """One row for each item and node of `split_filings`, with its signals and rank."""
+    return split.select(KEY, "n_nodes", F.inline("headers"))
+
+
+def page_references(split: DataFrame) -> DataFrame:
+    """(filing_id, item, hits)."""
+    each = F.explode(F.array_distinct("page_references")).alias("item")
+    return split.select(KEY, "page_references", each).select(KEY, "item", F.size(F.filter("page_references", lambda x: x == F.col("item"))).cast("long").alias("hits"))
+
+
+def far_filings(split: DataFrame) -> DataFrame:
+    """(filing_id, earliest_match_pct) of filings whose content is elsewhere."""
+    return split.select(KEY, "earliest_match_pct").where("earliest_match_pct is not null")
+
+
+def sections(split: DataFrame) -> DataFrame:
+    """(filing_id, order_correct, item_ord, item, start_idx, place, text, words, combined)."""
+    return split.select(KEY, "order_correct", F.inline("sections"))
 
 
 def split_annual(filings: DataFrame) -> DataFrame:
-    """(filing_id, item_ord, item, place, text, combined, order_correct, words), with retry and repair. place: of the item's header among those found, null for text that a repair moved or a combined header lent."""
-    nodes = text_nodes(filings, id_col=KEY)
-    cands = candidates(filings, ANNUAL, nodes)
-    far = far_filings(cands).select(KEY)
-    near = cands.where("rank is not null").join(far, KEY, "left_anti")
-    plain = assemble(nodes, near.where("rank = 1"))
-    least, most = (F.create_map(*(F.lit(x) for i, b in ANNUAL.bounds.items() for x in (i, b[k]))) for k in (0, 1))
-    options = near.groupBy(KEY, "item").agg(F.count("*").alias("options"))
-    item = F.col("item")
-    open_ = plain.join(options, [KEY, "item"], "left").where(((F.col("words") < least[item]) & (F.col("options") > 1)) | (F.col("words") > most[item])).select(KEY).distinct()
-    schema = f"{KEY} {dict(filings.dtypes)[KEY]}, item_ord int, item string, place long, text string, combined boolean, order_correct boolean"
-    # both sides come from the same nodes; toDF tells their columns apart
-    some = lambda df: df.toDF(*df.columns).join(open_.toDF(KEY), KEY, "left_semi").toDF(*df.columns).groupBy(KEY)
-    mended = some(nodes.select(KEY, "node_idx", "text")).cogroup(some(near.select(KEY, "item", "node_idx", "rank", "is_combined"))).applyInPandas(_settled, schema)
-    each = Window.partitionBy(KEY)
-    by_place = each.orderBy("start_idx", "item_ord")
-    rest = plain.join(open_, KEY, "left_anti")
-    rest = rest.withColumn("place", F.when(F.col("start_idx").isNotNull(), F.sum(F.col("start_idx").isNotNull().cast("int")).over(by_place) - 1).cast("long"))
-    rest = rest.withColumn("next", F.lag(F.when(F.col("start_idx").isNotNull(), F.col("item_ord")), 1).over(by_place))
-    wrong = F.max(F.coalesce(F.col("start_idx").isNotNull() & (F.col("next") > F.col("item_ord")), F.lit(False))).over(each)
-    rest = rest.select(KEY, F.col("item_ord").cast("int"), "item", "place", "text", "combined", (~wrong).alias("order_correct"))
-    return rest.unionByName(mended).withColumn("words", word_count(F.col("text")))
-
-
-def order_check(sections: DataFrame) -> DataFrame:
-    """X11: (filing_id, found_order joined by commas, order_correct) of sections with start_idx."""
-    x = sections.where("start_idx is not null").groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("start_idx", "item_ord", "item"))).alias("x"))
-    ords = F.transform("x", lambda s: s["item_ord"])
-    return x.select(KEY, F.array_join(F.col("x.item"), ",").alias("found_order"), (F.array_sort(ords) == ords).alias("order_correct"))
-
-
-def verdicts(sections: DataFrame, form: Form = ANNUAL) -> DataFrame:
-    """Sections with the column verdict."""
-    item, n = F.col("item"), F.col("words")
+    """Sections of annual reports, with retry and repair."""
+    return sections(split_filings(filings, ANNUAL, retry=True))
+
+
+def split_current(filings: DataFrame) -> DataFrame:
+    """Sections of current reports."""
+    return sections(split_filings(filings, CURRENT))
+
+
+def order_check(split: DataFrame) -> DataFrame:
+    """X11: (filing_id, found_order joined by commas, order_correct) of filings with sections."""
+    return split.where(F.size("found") > 0).select(KEY, F.array_join("found", ",").alias("found_order"), "order_correct")
+
+
+def verdict(item: Column, words: Column, combined: Column, form: Form = ANNUAL) -> Column:
+    """X14."""
     low, high = (F.create_map(*(F.lit(x) for i, b in form.bounds.items() for x in (i, b[k]))) for k in (0, 1))
-    said = (
-        F.when((item == "2") & F.col("combined"), "combined_with_item_1")
+    return (
+        F.when((item == "2") & combined, "combined_with_item_1")
         .when(low[item].isNull(), "no_bounds_defined")
-        .when(n < low[item], F.format_string("too_short (%dw, expected>=%d)", n, low[item]))
-        .when(n > high[item], F.format_string("too_long (%dw, expected<=%d)", n, high[item]))
+        .when(words < low[item], F.format_string("too_short (%dw, expected>=%d)", words, low[item]))
+        .when(words > high[item], F.format_string("too_long (%dw, expected<=%d)", words, high[item]))
         .otherwise("ok")
     )
-    return sections.withColumn("verdict", said)
-
-
-def filing_status(filings: DataFrame, cands: DataFrame, sections: DataFrame, form: Form = ANNUAL) -> DataFrame:
-    """(filing_id, status, zero_occurrence, length_failures) with lists joined by commas; every filing has a row. Sections need verdict and order_correct or start_idx."""
-    all_items = F.array(*(F.lit(i) for i in form.order))
-    seen = cands.groupBy(KEY).agg(F.collect_set("item").alias("seen"))
-    wrong = sections.groupBy(KEY).agg(F.array_sort(F.collect_list(F.when(F.col("verdict").startswith("too_"), F.struct("item_ord", "item")))).alias("bad"), F.count("*").alias("n"))
-    order = order_check(sections).select(KEY, "order_correct") if "start_idx" in sections.columns else sections.groupBy(KEY).agg(F.min("order_correct").alias("order_correct"))
-    far = far_filings(cands, form)
-    rows = filings.select(KEY).distinct().join(seen, KEY, "left").join(wrong, KEY, "left").join(order, KEY, "left").join(far, KEY, "left")
-    zero = F.array_except(all_items, F.coalesce("seen", F.array().cast("array<string>")))
+
+
+def verdicts(rows: DataFrame, form: Form = ANNUAL) -> DataFrame:
+    """Sections with the column verdict."""
+    return rows.withColumn("verdict", verdict(F.col("item"), F.col("words"), F.col("combined"), form))
+
+
+def filing_status(split: DataFrame, form: Form = ANNUAL) -> DataFrame:
+    """(filing_id, status, zero_occurrence, length_failures, earliest_match_pct), lists joined by commas."""
+    judged = F.transform(F.array_sort("sections", lambda a, b: a["item_ord"] - b["item_ord"]), lambda s: F.struct(s["item"].alias("item"), verdict(s["item"], s["words"], s["combined"], form).alias("v")))
+    bad = F.transform(F.filter(judged, lambda s: s["v"].startswith("too_")), lambda s: s["item"])
+    zero = F.array_except(F.array(*(F.lit(i) for i in form.order)), F.transform("headers", lambda h: h["item"]))
+    rows = split.select(KEY, "order_correct", "earliest_match_pct", F.size("sections").alias("n"), F.array_join(zero, ",").alias("zero_occurrence"), F.array_join(bad, ",").alias("length_failures"))
     status = (
         F.when(F.col("earliest_match_pct").isNotNull(), "incorporated_by_reference")
-        .when(F.col("n").isNull(), "failed")
-        .when((F.size(zero) > 0) | ~F.col("order_correct") | (F.size("bad") > 0), "needs_review")
+        .when(F.col("n") == 0, "failed")
+        .when((F.col("zero_occurrence") != "") | ~F.col("order_correct") | (F.col("length_failures") != ""), "needs_review")
         .otherwise("verified")
     )
-    return rows.select(KEY, status.alias("status"), F.array_join(zero, ",").alias("zero_occurrence"), F.coalesce(F.array_join(F.col("bad.item"), ","), F.lit("")).alias("length_failures"), "earliest_match_pct")
+    return rows.select(KEY, status.alias("status"), "zero_occurrence", "length_failures", "earliest_match_pct")
 
 
-def current_events(filings: DataFrame, sections: DataFrame) -> DataFrame:
+def current_events(split: DataFrame) -> DataFrame:
     """(filing_id, status, items_found, event_types) of current reports, lists joined; every filing has a row."""
     labels = F.create_map(*(F.lit(x) for kv in EVENT_LABELS.items() for x in kv))
-    x = sections.groupBy(KEY).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    rows = filings.select(KEY).distinct().join(x, KEY, "left")
-    status = F.when(F.col("items").isNull(), "failed").when(F.array_join("items", ",") == EXHIBITS, "exhibits_only").otherwise("extracted")
+    rows = split.select(KEY, F.array_sort(F.array_distinct(F.transform("sections", lambda s: s["item"]))).alias("items"))
+    status = F.when(F.size("items") == 0, "failed").when(F.array_join("items", ",") == EXHIBITS, "exhibits_only").otherwise("extracted")
     said = F.transform("items", lambda i: F.coalesce(labels[i], F.concat(F.lit("Item "), i)))
-    return rows.select(KEY, status.alias("status"), F.coalesce(F.array_join("items", ","), F.lit("")).alias("items_found"), F.coalesce(F.array_join(said, "; "), F.lit("")).alias("event_types"))
-
-
-def split_current(filings: DataFrame) -> DataFrame:
-    """E8."""
-    return split(filings, CURRENT)
+    return rows.select(KEY, status.alias("status"), F.array_join("items", ",").alias("items_found"), F.array_join(said, "; ").alias("event_types"))

@@ -11,6 +11,7 @@ from tessera.functions.config import ANNUAL, CURRENT, EVENT_LABELS, Form
 from tessera.functions.text import collapse_sql, q, word_count_sql
 from tessera.operators import html, quality
 from tessera.operators import sections as S
+from tessera.storage import spread
 
 TITLES = [
     "ITEM 1. BUSINESS", "Item 1A. Risk Factors", "Item 1B. Unresolved Staff Comments", "ITEM 2. PROPERTIES", "ITEM 3. LEGAL PROCEEDINGS", "Item 5. Market for Registrant's Common Equity",
@@ -21,6 +22,8 @@ CONTENTS = "<table>" + "".join(f"<tr><td>{t} {k + 3}</td></tr>" for k, t in enum
 LINK = """<p><a href="#x">Item 7. Management's Discussion</a></p>"""
 PAGES = "<div>Item 1 Business Pages 3-7</div>"
 STUB = "<div>Item 3. Legal Proceedings</div>"
+#: Nodes that are blank only once decoded, and entities with and without names and semicolons.
+ENTITIES = "<p>&#160;</p>" * 5 + "<p>&nbsp;&ensp;&#xA0;</p><p>The Company&rsquo;s report &#8212; &#x41;&amp;B, &notin;&copy 2024 &#147;so&#148;</p>"
 EVENTS = [f"Item {n} {label}" for n, label in EVENT_LABELS.items()] + ["Item 3.03 Material Modification to Rights"]
 
 
@@ -33,23 +36,23 @@ def _escaped(text):
 def annual_filings(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.expr("doc_id div 12").alias("filing_id"), (F.col("doc_id") % 12).cast("int").alias("k"), _escaped(F.col("text")).alias("body"))
     f, k = F.col("filing_id"), F.col("k")
-    docs = docs.where(~((k == 11) & (f % 5 == 4)) & ~((k == 3) & (f % 7 == 3)))
+    bare = ((k == 11) & (f % 5 == 4)) | ((k == 3) & (f % 7 == 3))
     title = F.when((k == 0) & (f % 7 == 3), BOTH).otherwise(F.element_at(F.array(*(F.lit(t) for t in TITLES)), k + 1))
-    head = F.concat(F.when((k == 4) & (f % 8 == 6), STUB).otherwise(""), F.lit("<div>"), title, F.lit("</div>"))
+    head = F.when(bare, "").otherwise(F.concat(F.when((k == 4) & (f % 8 == 6), STUB).otherwise(""), F.lit("<div>"), title, F.lit("</div>")))
     text = F.concat(F.lit("<p>"), "body", F.lit("</p>"))
     place = F.when((f % 6 == 5) & (k == 3), 4).when((f % 6 == 5) & (k == 4), 3).otherwise(k)
     blocks = F.when(f % 9 == 2, F.array(F.struct(place.alias("o"), text.alias("b")), F.struct((place + 100).alias("o"), head.alias("b")))).otherwise(F.array(F.struct(place.alias("o"), F.concat(head, text).alias("b"))))
     joined = docs.select("filing_id", F.inline(blocks)).groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("o", "b"))).alias("x"))
-    prefix = F.concat(F.when(f % 3 == 0, CONTENTS).otherwise(""), F.when(f % 4 == 1, LINK).otherwise(""), F.when(f % 10 == 4, PAGES).otherwise(""))
+    prefix = F.concat(F.when(f % 3 == 0, CONTENTS).otherwise(""), F.when(f % 4 == 1, LINK).otherwise(""), F.when(f % 10 == 4, PAGES).otherwise(""), F.when(f % 4 == 2, ENTITIES).otherwise(""))
     return joined.select("filing_id", F.concat(F.lit("<html><body>"), prefix, F.array_join("x.b", ""), F.lit("</body></html>")).alias("html"))
 
 
 def current_filings(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.expr("doc_id div 3").alias("filing_id"), (F.col("doc_id") % 3).alias("k"), "doc_id", _escaped(F.col("text")).alias("body"))
-    docs = docs.where((F.col("filing_id") % 5 != 0) | (F.col("k") == 0))
     at = F.when(F.col("filing_id") % 5 == 0, 19).otherwise(F.expr("doc_id * 7 % 21"))
     title = F.element_at(F.array(*(F.lit(t) for t in EVENTS)), (at + 1).cast("int"))
-    block = F.concat(F.when(F.col("filing_id") % 13 != 1, F.concat(F.lit("<div>"), title, F.lit("</div>"))).otherwise(""), F.lit("<p>"), "body", F.lit("</p>"))
+    headed = (F.col("filing_id") % 13 != 1) & ((F.col("filing_id") % 5 != 0) | (F.col("k") == 0))
+    block = F.concat(F.when(headed, F.concat(F.lit("<div>"), title, F.lit("</div>"))).otherwise(""), F.lit("<p>"), "body", F.lit("</p>"))
     joined = docs.select("filing_id", F.struct("k", block.alias("b")).alias("s")).groupBy("filing_id").agg(F.array_sort(F.collect_list("s")).alias("x"))
     return joined.select("filing_id", F.concat(F.lit("<html><body>"), F.array_join("x.b", ""), F.lit("</body></html>")).alias("html"))
 
@@ -59,53 +62,52 @@ def _pages(spark, sf_dir):
 
 
 def text_nodes(spark, sf_dir):
-    return html.text_nodes(_pages(spark, sf_dir)).select("page_id", "node_idx", "text")
+    return html.text_nodes(spread(_pages(spark, sf_dir))).select("page_id", "node_idx", "text")
 
 
 def node_flags(spark, sf_dir):
-    n = html.text_nodes(_pages(spark, sf_dir), count_nonvisible=False)
+    n = html.text_nodes(spread(_pages(spark, sf_dir)), count_nonvisible=False)
     return n.groupBy("page_id").agg(F.count("*").alias("nodes"), F.count_if("in_a").alias("in_a"), F.count_if("in_table").alias("in_table"))
 
 
 def page_elements(spark, sf_dir):
-    return html.elements(_pages(spark, sf_dir))
+    return html.elements(spread(_pages(spark, sf_dir)))
 
 
 def page_text(spark, sf_dir):
-    return html.with_extracted_text(_pages(spark, sf_dir)).select("page_id", "text")
+    return html.with_extracted_text(spread(_pages(spark, sf_dir))).select("page_id", "text")
+
+
+def _annual_split(spark, sf_dir, retry=False):
+    return S.split_filings(annual_filings(spark, sf_dir), ANNUAL, retry)
 
 
 def header_candidates_10k(spark, sf_dir):
-    return S.candidates(annual_filings(spark, sf_dir)).drop("suspicion", "rank", "item_ord")
+    return S.candidates(_annual_split(spark, sf_dir)).drop("suspicion", "rank", "item_ord")
 
 
 def ranked_headers_10k(spark, sf_dir):
-    return S.candidates(annual_filings(spark, sf_dir)).select("filing_id", "item", "node_idx", "suspicion", "rank").where("rank is not null")
+    return S.candidates(_annual_split(spark, sf_dir)).select("filing_id", "item", "node_idx", "suspicion", "rank").where("rank is not null")
 
 
 def page_reference_hits(spark, sf_dir):
-    return S.page_references(annual_filings(spark, sf_dir))
+    return S.page_references(_annual_split(spark, sf_dir))
 
 
 def sections_10k(spark, sf_dir):
-    return S.split(annual_filings(spark, sf_dir)).select("filing_id", "item", "start_idx", "words", "combined", F.md5("text").alias("text_md5"))
+    return S.sections(_annual_split(spark, sf_dir)).select("filing_id", "item", "start_idx", "words", "combined", F.md5("text").alias("text_md5"))
 
 
 def section_verdicts(spark, sf_dir):
-    return S.verdicts(S.split(annual_filings(spark, sf_dir))).select("filing_id", "item", "verdict")
-
-
-def _status(spark, sf_dir):
-    filings = annual_filings(spark, sf_dir)
-    return S.filing_status(filings, S.candidates(filings), S.verdicts(S.split(filings)))
+    return S.verdicts(S.sections(_annual_split(spark, sf_dir))).select("filing_id", "item", "verdict")
 
 
 def filing_status(spark, sf_dir):
-    return _status(spark, sf_dir)
+    return S.filing_status(_annual_split(spark, sf_dir))
 
 
 def sections_repaired(spark, sf_dir):
-    return S.verdicts(S.split_annual(annual_filings(spark, sf_dir)))
+    return S.verdicts(S.sections(_annual_split(spark, sf_dir, True)))
 
 
 def sections_8k(spark, sf_dir):
@@ -113,30 +115,27 @@ def sections_8k(spark, sf_dir):
 
 
 def events_8k(spark, sf_dir):
-    filings = current_filings(spark, sf_dir)
-    return S.current_events(filings, S.split_current(filings))
+    return S.current_events(S.split_filings(current_filings(spark, sf_dir), CURRENT))
 
 
 def status_tally(spark, sf_dir):
-    return quality.status_tally(_status(spark, sf_dir))
+    return quality.status_tally(filing_status(spark, sf_dir))
 
 
 def missing_items(spark, sf_dir):
-    return quality.missing_items(_status(spark, sf_dir))
+    return quality.missing_items(filing_status(spark, sf_dir))
 
 
 def length_failures(spark, sf_dir):
-    filings = annual_filings(spark, sf_dir)
-    return quality.length_failures(S.verdicts(S.split(filings)))
+    return quality.length_failures(S.sections(_annual_split(spark, sf_dir)))
 
 
 def item_diagnosis(spark, sf_dir):
-    filings = annual_filings(spark, sf_dir)
-    return quality.diagnose(filings.select("filing_id"), S.candidates(filings), S.verdicts(S.split(filings)))
+    return quality.diagnose(_annual_split(spark, sf_dir))
 
 
 def order_failures(spark, sf_dir):
-    return S.order_check(S.split(annual_filings(spark, sf_dir))).where("not order_correct").select("filing_id", "found_order")
+    return S.order_check(_annual_split(spark, sf_dir)).where("not order_correct").select("filing_id", "found_order")
 
 
 # --- DuckDB -----------------------------------------------------------------------------------------------------------------
@@ -153,19 +152,19 @@ d AS (
   SELECT doc_id // 12 AS f, (doc_id % 12)::INT AS k, '<p>' || {_esc} || '</p>' AS body FROM documents
 ), b AS (
   SELECT f, CASE WHEN f % 6 = 5 AND k IN (3, 4) THEN 7 - k ELSE k END AS o, body,
-    CASE WHEN k = 4 AND f % 8 = 6 THEN {q(STUB)} ELSE '' END || '<div>' || CASE WHEN k = 0 AND f % 7 = 3 THEN {q(BOTH)} ELSE {_list(TITLES)}[k + 1] END || '</div>' AS head
-  FROM d WHERE NOT (k = 11 AND f % 5 = 4) AND NOT (k = 3 AND f % 7 = 3)
+    CASE WHEN (k = 11 AND f % 5 = 4) OR (k = 3 AND f % 7 = 3) THEN '' ELSE CASE WHEN k = 4 AND f % 8 = 6 THEN {q(STUB)} ELSE '' END || '<div>' || CASE WHEN k = 0 AND f % 7 = 3 THEN {q(BOTH)} ELSE {_list(TITLES)}[k + 1] END || '</div>' END AS head
+  FROM d
 ), s AS (
   SELECT f, o, CASE WHEN f % 9 = 2 THEN body ELSE head || body END AS b FROM b UNION ALL SELECT f, o + 100, head FROM b WHERE f % 9 = 2
 ), filings AS MATERIALIZED (
   SELECT f AS filing_id, '<html><body>' || CASE WHEN f % 3 = 0 THEN {q(CONTENTS)} ELSE '' END || CASE WHEN f % 4 = 1 THEN {q(LINK)} ELSE '' END
-    || CASE WHEN f % 10 = 4 THEN {q(PAGES)} ELSE '' END || string_agg(b, '' ORDER BY o) || '</body></html>' AS html
+    || CASE WHEN f % 10 = 4 THEN {q(PAGES)} ELSE '' END || CASE WHEN f % 4 = 2 THEN {q(ENTITIES)} ELSE '' END || string_agg(b, '' ORDER BY o) || '</body></html>' AS html
   FROM s GROUP BY f
 )"""
 _current = f"""
-d AS (SELECT doc_id // 3 AS f, doc_id % 3 AS k, CASE WHEN doc_id // 3 % 5 = 0 THEN 19 ELSE doc_id * 7 % 21 END AS e, '<p>' || {_esc} || '</p>' AS body FROM documents WHERE doc_id // 3 % 5 <> 0 OR doc_id % 3 = 0),
+d AS (SELECT doc_id // 3 AS f, doc_id % 3 AS k, CASE WHEN doc_id // 3 % 5 = 0 THEN 19 ELSE doc_id * 7 % 21 END AS e, '<p>' || {_esc} || '</p>' AS body FROM documents),
 filings AS MATERIALIZED (
-  SELECT f AS filing_id, '<html><body>' || string_agg(CASE WHEN f % 13 <> 1 THEN '<div>' || {_list(EVENTS)}[e + 1] || '</div>' ELSE '' END || body, '' ORDER BY k) || '</body></html>' AS html FROM d GROUP BY f
+  SELECT f AS filing_id, '<html><body>' || string_agg(CASE WHEN f % 13 <> 1 AND (f % 5 <> 0 OR k = 0) THEN '<div>' || {_list(EVENTS)}[e + 1] || '</div>' ELSE '' END || body, '' ORDER BY k) || '</body></html>' AS html FROM d GROUP BY f
 )"""
 
 

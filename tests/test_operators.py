@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.config import ANNUAL
+from tessera.functions.config import ANNUAL, CURRENT
 from tessera.operators import chunks, clusters, html, prices
 from tessera.operators import sections as S
 from tessera.sources import filings, market
@@ -97,7 +97,7 @@ def test_linked_reference_is_not_chosen(spark):
 
 def test_header_with_much_inner_space(spark):
     f = filing(spark, paras(20) + "<div>Item 1A." + " \n" * 2000 + "Risk Factors</div>" + paras(90))
-    assert [(r["item"], r["text"]) for r in S.candidates(f).collect()] == [("1A", "Item 1A. Risk Factors")]
+    assert [(r["item"], r["text"]) for r in S.candidates(S.split_filings(f)).collect()] == [("1A", "Item 1A. Risk Factors")]
 
 
 def test_combined_header(spark):
@@ -108,11 +108,11 @@ def test_combined_header(spark):
 
 def test_page_reference_and_far(spark):
     f = filing(spark, paras(20) + "<div>Item 1 Business Pages 3-7</div>" + paras(5))
-    assert S.candidates(f).count() == 0 and S.page_references(f).count() == 1
+    assert S.candidates(S.split_filings(f)).count() == 0 and [r["hits"] for r in S.page_references(S.split_filings(f)).collect()] == [2]
     far = filing(spark, paras(90) + f"<div>{HEAD['1']}</div>" + paras(2))
-    assert S.far_filings(S.candidates(far)).count() == 1 and S.split_annual(far).count() == 0
+    assert S.far_filings(S.split_filings(far)).count() == 1 and S.split_annual(far).count() == 0
     exactly = filing(spark, paras(80) + f"<div>{HEAD['1']}</div>" + paras(19))
-    assert S.far_filings(S.candidates(exactly)).count() == 0
+    assert S.far_filings(S.split_filings(exactly)).count() == 0
 
 
 def test_stub_is_retried(spark):
@@ -132,7 +132,7 @@ def test_repair():
 
 def test_current_reports(spark):
     f = spark.createDataFrame([(1, "<div>Item 9.01 Financial Statements and Exhibits</div><p>x</p>"), (2, "<div>Item 3.03 Material Modification</div><p>x</p><div>Item 8.01 Other Events</div>"), (3, "<p>none</p>"), (4, None)], "filing_id long, html string")
-    got = {r["filing_id"]: r for r in S.current_events(f, S.split_current(f)).collect()}
+    got = {r["filing_id"]: r for r in S.current_events(S.split_filings(f, CURRENT)).collect()}
     assert [got[k]["status"] for k in (1, 2, 3, 4)] == ["exhibits_only", "extracted", "failed", "failed"]
     assert got[2]["event_types"] == "Item 3.03; Other Events"
 
@@ -144,9 +144,9 @@ def test_settled_sections_come_from_the_nodes(texts):
     for k, t in enumerate(texts):
         for i in ANNUAL.order:
             if i in HEAD and t == HEAD[i]:
-                ranked.setdefault(i, []).append({"node_idx": k, "is_combined": False})
+                ranked.setdefault(i, []).append({"item": i, "item_ord": ANNUAL.order.index(i), "node_idx": k, "is_combined": False})
     sections, found, combined = S.settle(texts, {i: ranked[i] for i in ANNUAL.order if i in ranked})
-    assert not combined and set(found) == set(ranked) and all(v in " ".join(texts) for v in sections.values())
+    assert not combined and {c["item"] for c in found} == set(ranked) and all(v in " ".join(texts) for v in sections.values())
 
 
 def test_html(spark):
