@@ -48,7 +48,18 @@ STEMS = sorted(
     )
 )
 NOISE_PATTERN = "|".join(f"(?:{p})" for p in NOISE.values())
-STEM_PATTERN = "|".join(STEMS)
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern that finds any of the words, which tries a letter once for all words that go on with it."""
+    if "" in words:
+        return ""
+    heads = sorted({w[0] for w in words})
+    branches = [h + _any_of([w[1:] for w in words if w[0] == h]) for h in heads]
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+
+STEM_PATTERN = _any_of([s for s in STEMS if s.isalpha()]) + "|" + "|".join(s for s in STEMS if not s.isalpha())
 LEAST_WORDS, MOST_WORDS, LEAST_ALPHA = 8, 120, 0.45
 
 def barrier(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
@@ -84,7 +95,7 @@ def is_financial(s: Column) -> Column:
     """8 to 120 words, no noise, a financial stem, and letters for 45 % of its characters."""
     n = word_count(s)
     alpha = F.length(F.regexp_replace(s, r"[^\p{L}]", ""))
-    return n.between(LEAST_WORDS, MOST_WORDS) & ~s.rlike(f"(?iu){NOISE_PATTERN}") & s.rlike(f"(?iu){STEM_PATTERN}") & (alpha >= LEAST_ALPHA * F.length(s))
+    return n.between(LEAST_WORDS, MOST_WORDS) & s.rlike(f"(?iu){STEM_PATTERN}") & ~s.rlike(f"(?iu){NOISE_PATTERN}") & (alpha >= LEAST_ALPHA * F.length(s))
 
 
 def financial_sentences(text: Column) -> Column:
