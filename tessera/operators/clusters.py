@@ -5,8 +5,11 @@ Members are rows (id, vec array<double>, cluster_id int), -1 for noise. Ties go
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,20 +18,69 @@ from tessera.functions.vectors import cosine
 
 NOISE_DISTANCE = 0.35
 MIN_SIZE, MIN_SAMPLES = 5, 3
+#: Numbers of centroids that are fetched at most, 64 MB.
+MATRIX = 8_000_000
+#: Vectors of a block: two blocks' distances are 128 MB.
+BLOCK = 4096
+Labeler = Callable[[list[str], list[str], list[str]], "str | None"]
+
+
+def reduce_dimensions(rows: DataFrame, k: int | None = None) -> DataFrame:
+    """G1: (id, vec) with at most k principal components, or as they are without k, as where the reducer isn't there. The covariance is summed where the rows are; null vectors go."""
+    rows = rows.where("id is not null and vec is not null").select("id", "vec")
+    if k is None:
+        return rows
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    first = rows.select(F.size("vec").alias("d")).first()
+    if first is None or first["d"] <= k:
+        return rows
+    v = rows.select("id", array_to_vector("vec").alias("v"))
+    return PCA(k=k, inputCol="v", outputCol="r").fit(v).transform(v).select("id", vector_to_array("r").alias("vec"))
 
 
 def centroids(members: DataFrame) -> DataFrame:
-    """(cluster_id, centroid), the mean of each cluster but noise. Partial sums by dimension; what is shuffled is clusters times dimensions."""
-    rows = members.where("cluster_id <> -1").select("cluster_id", F.posexplode("vec").alias("k", "x"))
-    mean = rows.groupBy("cluster_id", "k").agg(F.avg("x").alias("x"))
-    return mean.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("s")).select("cluster_id", F.col("s.x").alias("centroid"))
+    """(cluster_id, centroid, first): the mean of each cluster but noise, and its least id. Partial sums by dimension; what is shuffled is clusters times dimensions."""
+    rows = members.where("cluster_id <> -1").select("cluster_id", "id", F.posexplode("vec").alias("k", "x"))
+    mean = rows.groupBy("cluster_id", "k").agg(F.avg("x").alias("x"), F.min("id").alias("first"))
+    out = mean.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("s"), F.min("first").alias("first"))
+    return out.select("cluster_id", F.col("s.x").alias("centroid"), "first")
+
+
+def _nearest_of(ids: list[int], matrix: np.ndarray):
+    """(id, cluster_id, similarity) by one product of matrices for each batch; of equal ones the first row of the matrix."""
+    norms = np.sqrt((matrix * matrix).sum(axis=1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
+                v = np.array(some.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(some.num_rows, -1)
+                n = np.sqrt((v * v).sum(axis=1))[:, None] * norms
+                sims = np.divide(v @ matrix.T, n, out=np.zeros_like(n), where=n > 0)
+                best = sims.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.array(ids)[best], pa.int32()), pa.array(sims[np.arange(len(best)), best])], names=["id", "cluster_id", "similarity"])
+
+    return run
 
 
 def nearest(rows: DataFrame, centres: DataFrame) -> DataFrame:
-    """(id, cluster_id, similarity) of the centroid nearest to each row of (id, vec); the least id of equal ones. Centroids are one row each: Spark broadcasts them if they are small, else joins by loops over partitions."""
+    """(id, cluster_id, similarity) of the centroid nearest to each row of (id, vec); of equal ones that whose `first` is least, or without it the least cluster_id. Null vectors go.
+
+    Up to MATRIX numbers the centroids are fetched and each batch of rows is one product with them; beyond, every row meets every centroid in a nested loop.
+    """
+    order = ["first", "cluster_id"] if "first" in centres.columns else ["cluster_id"]
+    rows = rows.where("id is not null and vec is not null").select("id", "vec")
+    numbers = centres.agg(F.sum(F.size("centroid"))).first()[0] or 0
+    if 0 < numbers <= MATRIX:
+        own = sorted(centres.select(*order, "cluster_id", "centroid").collect(), key=lambda r: tuple(r)[: len(order)])
+        run = _nearest_of([r["cluster_id"] for r in own], np.array([r["centroid"] for r in own], float))
+        return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, cluster_id int, similarity double")
     sim = cosine(F.col("vec"), F.col("centroid"), 0.0)
-    pairs = rows.select("id", "vec").crossJoin(centres).select("id", "cluster_id", sim.alias("similarity"))
-    return pairs.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("cluster_id")).alias("c"))).alias("b")).select("id", (-F.col("b.c")).alias("cluster_id"), F.col("b.similarity").alias("similarity"))
+    pairs = rows.crossJoin(centres).select("id", "cluster_id", F.struct((-sim).alias("far"), *order).alias("k"))
+    best = pairs.groupBy("id").agg(F.min(F.struct("k", "cluster_id")).alias("b"))
+    return best.select("id", F.col("b.cluster_id").alias("cluster_id"), (-F.col("b.k.far")).alias("similarity"))
 
 
 def reassign_noise(members: DataFrame, distance: float = NOISE_DISTANCE, centres: DataFrame | None = None) -> DataFrame:
@@ -95,6 +147,52 @@ def label(words: Column) -> Column:
     return F.when(words == "", "Unlabeled Cluster").otherwise(F.array_join(F.slice(F.split(words, ","), 1, 4), " "))
 
 
+def accepted(said: str | None) -> str:
+    """A labeler's answer without quotes and full stop, '' if it is to be passed over."""
+    said = (said or "").strip().strip('"').strip("'").strip(".")
+    return said if len(said) < 80 else ""
+
+
+def labels(rows: DataFrame, labeler: Labeler | None = None) -> DataFrame:
+    """(cluster_id, label) of (cluster_id, texts array, companies array, keywords array): what labeler(up to 5 texts of 300 characters, up to 8 companies, keywords) says,
+    where it doesn't fail and the answer has 1 to 79 characters; else the first four keywords. It is called in Python workers."""
+    plain = label(F.array_join("keywords", ","))
+    if labeler is None:
+        return rows.select("cluster_id", plain.alias("label"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for texts, companies, keywords in zip(f["texts"], f["companies"], f["keywords"]):
+                try:
+                    out.append(accepted(labeler([t[:300] for t in texts[:5]], list(companies[:8]), list(keywords))))
+                except Exception:  # an answer that fails isn't the job's failure; the keywords stand in
+                    out.append("")
+            yield pd.DataFrame({"cluster_id": f["cluster_id"], "said": out, "plain": f["plain"]})
+
+    said = rows.select("cluster_id", "texts", "companies", "keywords", plain.alias("plain")).mapInPandas(run, f"cluster_id {dict(rows.dtypes)['cluster_id']}, said string, plain string")
+    return said.select("cluster_id", F.when(F.col("said") != "", F.col("said")).otherwise(F.col("plain")).alias("label"))
+
+
+def summaries(members: DataFrame, docs: DataFrame, labeler: Labeler | None = None) -> DataFrame:
+    """(cluster_id, label, size, head_id, head_preview, dominant_sections, companies, date_from, date_to) of members (id, vec, cluster_id) and docs (id, ticker, filing_date, section, text).
+
+    The members of a cluster are the rows of `members`, not a list that grows with it. Members without a row in docs count with empty fields.
+    """
+    own = members.where("cluster_id <> -1").select("cluster_id", "id").join(docs.select("id", "ticker", "filing_date", "section", "text"), "id", "left")
+    head = heads(members).select("cluster_id", F.col("id").alias("head_id")).join(docs.select(F.col("id").alias("head_id"), F.col("text").alias("head_text")), "head_id", "left")
+    first = own.withColumn("k", F.row_number().over(Window.partitionBy("cluster_id").orderBy("id"))).where("k <= 4")
+    first = first.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("k", F.substring(F.coalesce("text", F.lit("")), 1, 300).alias("t")))).alias("s")).select("cluster_id", F.col("s.t").alias("firsts"))
+    words = keywords(own.select("cluster_id", "id", "text"))
+    rows = profile(own).join(words, "cluster_id").join(head, "cluster_id").join(first, "cluster_id")
+    text = F.coalesce("head_text", F.lit(""))
+    said = labels(
+        rows.select("cluster_id", F.concat(F.array(F.substring(text, 1, 300)), "firsts").alias("texts"), F.split("companies", ", ").alias("companies"), F.when(F.col("keywords") == "", F.array().cast("array<string>")).otherwise(F.split("keywords", ",")).alias("keywords")),
+        labeler,
+    )
+    return rows.join(said, "cluster_id").select("cluster_id", "label", "size", "head_id", F.substring(text, 1, 200).alias("head_preview"), "dominant_sections", "companies", "date_from", "date_to")
+
+
 # --- density clusters -----------------------------------------------------------------------------------------------------
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -194,15 +292,36 @@ def condense(ids: np.ndarray, edges: list[tuple[int, int, float]], min_size: int
     return labels
 
 
-def density_clusters(rows: DataFrame, min_size: int = MIN_SIZE, min_samples: int = MIN_SAMPLES, blocks: int = 4) -> DataFrame:
+def forest(edges: pd.DataFrame) -> pd.DataFrame:
+    """Kruskal's minimum spanning forest of edges (a, b, w); ties go by a and b."""
+    e = edges.sort_values(["w", "a", "b"], kind="stable")
+    nodes, at = np.unique(np.concatenate([e["a"].to_numpy(), e["b"].to_numpy()]), return_inverse=True)
+    x, y = at[: len(e)].tolist(), at[len(e) :].tolist()
+    parent, keep = list(range(len(nodes))), []
+    for k, (i, j) in enumerate(zip(x, y)):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        while parent[j] != j:
+            parent[j] = parent[parent[j]]
+            j = parent[j]
+        if i != j:
+            parent[i] = j
+            keep.append(k)
+    return e.iloc[keep]
+
+
+def density_clusters(rows: DataFrame, min_size: int = MIN_SIZE, min_samples: int = MIN_SAMPLES, block: int = BLOCK) -> DataFrame:
     """(id, cluster_id) of (id, vec), -1 for noise: clusters by mutual reachability distance, a point being the first of its own min_samples neighbours.
 
-    Exact. The vectors are cut into blocks; each pair of blocks is a task that gives the distances to near neighbours, and then the spanning tree of its
-    own points. The tree of all is among the edges of these, and only they come together, as blocks times points. Clusters are numbered by their least id. Duplicate ids are an error; null vectors go.
+    Exact, and so it compares all vectors, block by block: each pair of blocks is a task that gives the distances to near neighbours, and then the spanning tree of its own points. The tree of all is among
+    the edges of these; the edges of the pairs that share a block are thinned to a spanning forest before all come together, to at most a row for each point and block. The tree of
+    clusters is made in one task. Clusters are numbered by their least id. Duplicate ids are an error; null vectors go.
     """
     rows = rows.where("id is not null and vec is not null").select("id", "vec")
+    blocks = max(1, -(-rows.count() // block))
     keyed = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    others = F.explode(F.array(*(F.lit(k) for k in range(blocks))))
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     paired = keyed.withColumn("o", others).select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "vec")
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -211,8 +330,9 @@ def density_clusters(rows: DataFrame, min_size: int = MIN_SIZE, min_samples: int
         for here, there in {(i, j), (j, i)}:
             a, b = pdf[pdf["b"] == here], pdf[pdf["b"] == there]
             if len(a) and len(b):
-                d = np.sort(_distances(np.stack(a["vec"]), np.stack(b["vec"])), axis=1)[:, :min_samples]
-                out.append(pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), d.shape[1]), "d": d.ravel()}))
+                d, k = _distances(np.stack(a["vec"]), np.stack(b["vec"])), min(min_samples, len(b))
+                d = np.partition(d, k - 1, axis=1)[:, :k]
+                out.append(pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), k), "d": d.ravel()}))
         return pd.concat(out) if out else pd.DataFrame({"id": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
 
     near_d = paired.groupBy("i", "j").applyInPandas(near, "id long, d double")
@@ -222,13 +342,14 @@ def density_clusters(rows: DataFrame, min_size: int = MIN_SIZE, min_samples: int
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         v, c, ids = np.stack(pdf["vec"]), pdf["core"].to_numpy(), pdf["id"].to_numpy()
         d = np.maximum(np.maximum(_distances(v, v), c[:, None]), c[None, :])
-        return pd.DataFrame([(int(ids[a]), int(ids[b]), w) for a, b, w in spanning_tree(d)], columns=["a", "b", "w"])
+        return pd.DataFrame([(int(pdf["i"].iloc[0]), int(ids[a]), int(ids[b]), w) for a, b, w in spanning_tree(d)], columns=["i", "a", "b", "w"])
 
-    edges = again.groupBy("i", "j").applyInPandas(tree, "a long, b long, w double").select(F.lit(0).alias("g"), "a", "b", "w")
+    edges = again.groupBy("i", "j").applyInPandas(tree, "i int, a long, b long, w double")
+    edges = edges.groupBy("i").applyInPandas(lambda pdf: forest(pdf)[["a", "b", "w"]], "a long, b long, w double").select(F.lit(0).alias("g"), "a", "b", "w")
     points = rows.select(F.lit(0).alias("g"), "id")
 
     def label_all(key, ids: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        found = condense(np.sort(ids["id"].to_numpy()), list(e.drop_duplicates().itertuples(index=False, name=None)), min_size)
+        found = condense(np.sort(ids["id"].to_numpy()), list(forest(e).itertuples(index=False, name=None)), min_size)
         return pd.DataFrame({"id": list(found), "cluster_id": list(found.values())})
 
     return points.groupBy("g").cogroup(edges.toDF("g", "a", "b", "w").groupBy("g")).applyInPandas(lambda k, p, e: label_all(k, p, e[["a", "b", "w"]]), "id long, cluster_id int")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import clusters, filings, prices, text
+from tessera.plans import clusters, files, filings, prices, text
 
-_parts = (prices, filings, text, clusters)
+_parts = (prices, filings, text, clusters, files)
 QUERIES: dict = {k: v for p in _parts for k, v in p.QUERIES.items()}
 SQL: dict = {k: v for p in _parts for k, v in p.SQL.items()}

@@ -27,14 +27,14 @@ ENTITIES = "<p>&#160;</p>" * 5 + "<p>&nbsp;&ensp;&#xA0;</p><p>The Company&rsquo;
 EVENTS = [f"Item {n} {label}" for n, label in EVENT_LABELS.items()] + ["Item 3.03 Material Modification to Rights"]
 
 
-def _escaped(text):
+def escaped(text, parted: bool = True):
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(a), F.lit(b))
-    return F.replace(text, F.lit(". "), F.lit(".</p><p>"))
+    return F.replace(text, F.lit(". "), F.lit(".</p><p>")) if parted else text
 
 
 def annual_filings(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.expr("doc_id div 12").alias("filing_id"), (F.col("doc_id") % 12).cast("int").alias("k"), _escaped(F.col("text")).alias("body"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.expr("doc_id div 12").alias("filing_id"), (F.col("doc_id") % 12).cast("int").alias("k"), escaped(F.col("text")).alias("body"))
     f, k = F.col("filing_id"), F.col("k")
     bare = ((k == 11) & (f % 5 == 4)) | ((k == 3) & (f % 7 == 3))
     title = F.when((k == 0) & (f % 7 == 3), BOTH).otherwise(F.element_at(F.array(*(F.lit(t) for t in TITLES)), k + 1))
@@ -48,7 +48,7 @@ def annual_filings(spark, sf_dir):
 
 
 def current_filings(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.expr("doc_id div 3").alias("filing_id"), (F.col("doc_id") % 3).alias("k"), "doc_id", _escaped(F.col("text")).alias("body"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.expr("doc_id div 3").alias("filing_id"), (F.col("doc_id") % 3).alias("k"), "doc_id", escaped(F.col("text")).alias("body"))
     at = F.when(F.col("filing_id") % 5 == 0, 19).otherwise(F.expr("doc_id * 7 % 21"))
     title = F.element_at(F.array(*(F.lit(t) for t in EVENTS)), (at + 1).cast("int"))
     headed = (F.col("filing_id") % 13 != 1) & ((F.col("filing_id") % 5 != 0) | (F.col("k") == 0))

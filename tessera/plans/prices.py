@@ -56,11 +56,15 @@ def price_stats(spark, sf_dir):
     return P.price_stats(event_prices(spark, sf_dir), *EVENTS).unionByName(P.price_stats(order_prices(spark, sf_dir), *ORDERS))
 
 
-def ohlcv_bars(spark, sf_dir):
+def bars_of_events(spark, sf_dir):
     ticks = _events(spark, sf_dir).withColumn("ticker", F.col("event_type"))
     return P.bars(ticks, F.col("ts"), F.col("value"), F.col("event_id"))
 
 
+def ohlcv_bars(spark, sf_dir):
+    return bars_of_events(spark, sf_dir)
+
+
 def lineitem_bars(spark, sf_dir):
     ticks = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("ticker", F.col("l_returnflag"))
     return P.bars(ticks, F.col("l_shipdate"), F.col("l_extendedprice"), F.struct("l_orderkey", "l_linenumber", "l_extendedprice"))

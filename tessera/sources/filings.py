@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +33,31 @@ def read_processed(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("filing_id", "ticker", "filing_type", "filing_date", F.explode_outer("sections").alias("section_id", "text"))
 
 
+def _files(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            paths = []
+            for ticker, file, body in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                system.create_dir(f"{base}/{ticker}", recursive=True)
+                # a task that is lost leaves a hidden file; its next attempt has another
+                part = f"{base}/{ticker}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(part, compression=None) as f:
+                    f.write(body.encode())
+                system.move(part, f"{base}/{ticker}/{file}")
+                paths.append(f"{ticker}/{file}")
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+
+    return run
+
+
+def write_files(rows: DataFrame, root: str) -> int:
+    """K1, K4: a file for each row of (ticker, file, body), in a folder for each ticker; how many. A row without one of these is an error; of two with one name one stays."""
+    need = F.assert_true(F.col("ticker").isNotNull() & F.col("file").isNotNull() & F.col("body").isNotNull(), "a file needs a ticker, a name and a body")
+    cut = rows.select("ticker", "file", "body", need.alias("ok")).where("ok is null").select("ticker", "file", "body")
+    return cut.mapInArrow(_files(root), "path string").count()
+
+
 def write_by_ticker(rows: DataFrame, path: str) -> None:
     """K1, K3-K5: Parquet, a folder for each ticker."""
     rows.write.mode("overwrite").partitionBy("ticker").parquet(path)

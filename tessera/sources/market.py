@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PRICE_SCHEMA = "Date date, Open double, High double, Low double, Close double, Volume long, ticker string, pulled_at string"
+#: Of a fetch: tries, the seconds between them, and the seconds that one may take.
+TRIES, PAUSE, TIMEOUT = 3, 2.0, 15.0
 MACRO_SCHEMA = "date date, value double, series string"
 _quote = "open:array<double>,high:array<double>,low:array<double>,close:array<double>,volume:array<bigint>"
 PAYLOAD = f"chart struct<result:array<struct<timestamp:array<bigint>,indicators:struct<quote:array<struct<{_quote}>>,adjclose:array<struct<adjclose:array<double>>>>>>>"
@@ -30,6 +34,18 @@ def flatten_payload(payloads: DataFrame, json_col: str = "payload") -> DataFrame
     return flat.select("ticker", trading_date(F.col("ts")).alias("date"), "open", "high", "low", close.alias("close"), "volume").where("close is not null")
 
 
+def flatten_series(pulled: DataFrame) -> DataFrame:
+    """(date, value, series) of rows (ticker, payload) of `chart_source`, the ticker being the series: JSON {"observations": [{"date", "value"}]}. Series that failed have no row; values that are no number are null."""
+    shape = "observations array<struct<date:string,value:string>>"
+    rows = pulled.select(F.col("ticker").alias("series"), F.inline(F.from_json("payload", shape)["observations"]))
+    return rows.select(F.col("date").cast("date").alias("date"), F.expr("try_cast(value as double)").alias("value"), "series")
+
+
+def macro_or_synthetic(spark: SparkSession, pulled: DataFrame | None, series: list[str], start: str, end: str) -> DataFrame:
+    """The series that were pulled; without a client or a key (None) the stand-in for all."""
+    return synthetic_macro(spark, series, start, end) if pulled is None else flatten_series(pulled)
+
+
 def synthetic_macro(spark: SparkSession, series: list[str], start: str, end: str) -> DataFrame:
     """1.0 on the first of each month from start to end."""
     first = F.when(F.dayofmonth(F.lit(start).cast("date")) == 1, F.lit(start).cast("date")).otherwise(F.trunc(F.add_months(F.lit(start).cast("date"), 1), "month"))
@@ -38,15 +54,40 @@ def synthetic_macro(spark: SparkSession, series: list[str], start: str, end: str
     return dates.crossJoin(spark.createDataFrame([(s,) for s in series], "series string")).select("date", F.lit(1.0).alias("value"), "series")
 
 
+def write_csv_by(rows: DataFrame, key: str, path: str) -> None:
+    """K3, K5: CSV files with a header, a folder for each value of key, which stays a column of the files."""
+    rows.withColumn("__by", F.col(key)).withColumnRenamed("__by", f"by_{key}").write.mode("overwrite").partitionBy(f"by_{key}").csv(path, header=True)
+
+
 def load_prices(spark: SparkSession, path: str) -> DataFrame:
     """Price CSV files; the columns of the pull are dropped, the ticker is kept as the key."""
-    rows = spark.read.schema(PRICE_SCHEMA).csv(path, header=True)
+    rows = spark.read.schema(PRICE_SCHEMA).option("recursiveFileLookup", True).csv(path, header=True)
     return rows.drop("pulled_at").select("ticker", *(F.col(c).alias(c.lower()) for c in ("Date", "Open", "High", "Low", "Close", "Volume")))
 
 
 def load_macro(spark: SparkSession, path: str) -> DataFrame:
     """S12."""
-    return spark.read.schema(MACRO_SCHEMA).csv(path, header=True)
+    return spark.read.schema(MACRO_SCHEMA).option("recursiveFileLookup", True).csv(path, header=True)
+
+
+def _within(seconds: float, fetch, *args):
+    """What fetch gives; TimeoutError after so many seconds. A call that hangs is left to its thread, which doesn't keep the worker from ending."""
+    got: list = []
+
+    def call():
+        try:
+            got.append((fetch(*args), None))
+        except Exception as e:  # raised again where it is waited for
+            got.append((None, e))
+
+    thread = threading.Thread(target=call, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not got:
+        raise TimeoutError(f"no answer in {seconds:g} s")
+    if got[0][1]:
+        raise got[0][1]
+    return got[0][0]
 
 
 class _Ticker(InputPartition):
@@ -62,10 +103,13 @@ class _Reader(DataSourceReader):
         return [_Ticker(t) for t in self.options["tickers"].split(",") if t]
 
     def read(self, partition: _Ticker) -> Iterator[tuple]:
-        error, tries = None, int(self.options.get("tries", 3))
-        for _ in range(tries):
+        tries, pause, limit = (float(self.options.get(k, d)) for k, d in (("tries", TRIES), ("pause", PAUSE), ("timeout", TIMEOUT)))
+        error = "no try"
+        for k in range(int(tries)):
+            if k:
+                time.sleep(pause)
             try:
-                yield partition.ticker, self.fetch(partition.ticker, self.options.get("start", ""), self.options.get("end", "")), None
+                yield partition.ticker, _within(limit, self.fetch, partition.ticker, self.options.get("start", ""), self.options.get("end", "")), None
                 return
             except Exception as e:  # one ticker's failure is a row, not the job's
                 error = f"{type(e).__name__}: {e}"
@@ -73,7 +117,7 @@ class _Reader(DataSourceReader):
 
 
 def chart_source(fetch: Callable[[str, str, str], str], name: str = "charts") -> type[DataSource]:
-    """A data source whose rows are (ticker, payload, error), a partition for each ticker; fetch(ticker, start, end) gives the JSON. Register it with spark.dataSource.register."""
+    """A data source whose rows are (ticker, payload, error), a partition for each ticker or series; fetch(ticker, start, end) gives the JSON. Options: tickers, start, end, tries, pause, timeout. Register it with spark.dataSource.register."""
 
     class Charts(DataSource):
         @classmethod

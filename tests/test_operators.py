@@ -159,7 +159,7 @@ def test_html(spark):
 def test_short_sections(spark, n, rows):
     s = spark.createDataFrame([("f", "t", "10-K", "2024-01-01", "1", "word " * n)], "filing_id string, ticker string, filing_type string, filing_date string, section_id string, text string")
     got = chunks.semantic_chunks(s).collect()
-    assert len(got) == rows and all(r["topic_shift_score"] is None and r["chunk_id"] == "f_1_000" for r in got)
+    assert len(got) == rows and all(r["topic_shift_score"] is None and r["chunk_id"] == "f_1_001" for r in got)
 
 
 def test_chunks_keep_the_words(spark):
@@ -175,8 +175,8 @@ def test_density_clusters(spark):
     rng = np.random.default_rng(1)
     points = np.concatenate([rng.normal(c, 0.05, (20, 2)) for c in ((0, 0), (5, 5), (0, 5))] + [np.array([[20.0, 20.0], [-20.0, 9.0]])])
     df = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "id long, vec array<double>")
-    for blocks in (1, 3):
-        got = {r["id"]: r["cluster_id"] for r in clusters.density_clusters(df, blocks=blocks).collect()}
+    for block in (100, 25):
+        got = {r["id"]: r["cluster_id"] for r in clusters.density_clusters(df, block=block).collect()}
         assert len(got) == 62 and got[60] == got[61] == -1
         assert [len({got[k] for k in range(a, a + 20)} - {-1}) for a in (0, 20, 40)] == [1, 1, 1] and len(set(got.values()) - {-1}) == 3
 
@@ -212,3 +212,168 @@ def test_market_source(spark):
     pulled = spark.read.format("charts").option("tickers", "AAA,BAD").load()
     assert {r["status"]: r["n"] for r in market.manifest(pulled).collect()} == {"success": 1, "failure": 1}
     assert [(r["date"].isoformat(), r["close"], r["open"]) for r in market.flatten_payload(pulled).collect()] == [("2024-01-02", 0.5, 1.0)]
+
+
+class Slow:
+    """A model that is loaded where it is first called."""
+
+    model = None
+
+    def __call__(self, texts):
+        if Slow.model is None:
+            Slow.model = lambda ts: np.array([[len(t), t.count("a"), 1.0] for t in ts])
+        return Slow.model(texts)
+
+
+def test_own_embedding(spark):
+    text = " ".join(f"Alpha{k % 3} beta gamma {'a' * (k // 50)} more of it here." for k in range(300))
+    s = spark.createDataFrame([("f", "t", "10-K", "2024-01-01", "8", text), ("g", "t", "10-K", "2024-01-01", None, None)], "filing_id string, ticker string, filing_type string, filing_date string, section_id string, text string")
+    got = chunks.semantic_chunks(s, Slow()).collect()
+    assert got and all(len(r["embedding"]) == 3 for r in got) and [r["chunk_index"] for r in got] == list(range(1, len(got) + 1))
+    again = sum(r["word_count"] > 0 and r["embedding"][2] == 1.0 for r in got)
+    assert again == len(got)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 300), max_size=30))
+def test_merge_and_split_step_by_step(sizes):
+    raw = [(" ".join(["w"] * n), n, [np.array([float(k)])]) for k, n in enumerate(sizes)]
+    want, held = [], []
+    for k, n in enumerate(sizes):
+        if held and sum(sizes[i] for i in held) + n < 100:
+            held.append(k)
+        else:
+            if held:
+                want.append(held)
+            held = [k]
+    if held:
+        want.append(held)
+    got = chunks.merged_of(raw)
+    assert [[int(v[0]) for v in x[2]] for x in got] == want and [x[1] for x in got] == [sum(sizes[i] for i in g) for g in want]
+
+
+def plain_hdbscan(points, min_size, min_samples):
+    """(mutual reachability, clusters): single linkage level by level, and the clusters of most stability as sets of points, from the definition."""
+    n = len(points)
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    core = np.sort(d, axis=1)[:, min_samples - 1]
+    m = np.maximum(np.maximum(d, core[:, None]), core[None])
+
+    def parts(rows, eps):
+        left, out = set(rows), []
+        while left:
+            todo = [left.pop()]
+            group = set(todo)
+            while todo:
+                x = todo.pop()
+                near = {y for y in left if m[x, y] < eps}
+                left -= near
+                group |= near
+                todo += near
+            out.append(group)
+        return out
+
+    def grow(rows, born):
+        """(stability, clusters chosen below or it) of the cluster of these rows."""
+        levels = sorted({m[a, b] for a in rows for b in rows if a < b}, reverse=True)
+        now, mass = set(rows), 0.0
+        for eps in levels:
+            lam = 1 / eps
+            split = parts(now, eps)
+            if len(split) == 1:
+                continue
+            large = [s for s in split if len(s) >= min_size]
+            if len(large) > 1:
+                mass += len(now) * (lam - born)
+                below = [grow(s, lam) for s in large]
+                under = sum(b[0] for b in below)
+                return (mass, [set(rows)]) if mass >= under else (under, [c for b in below for c in b[1]])
+            gone = now - (large[0] if large else set())
+            mass += len(gone) * (lam - born)
+            if not large:
+                return mass, [set(rows)]
+            now = large[0]
+        return mass, [set(rows)]
+
+    # the root is never a cluster: the first split into two large parts opens them
+    now = set(range(n))
+    for eps in sorted({m[a, b] for a in range(n) for b in range(a)}, reverse=True):
+        large = [s for s in parts(now, eps) if len(s) >= min_size]
+        if len(large) > 1:
+            return m, [c for s in large for c in grow(s, 1 / eps)[1]]
+        if not large:
+            break
+        now = large[0]
+    return m, []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_density_clusters_from_the_definition(spark, seed):
+    rng = np.random.default_rng(seed)
+    points = np.concatenate([rng.normal(rng.uniform(-4, 4, 2), rng.uniform(0.1, 0.9), (rng.integers(4, 14), 2)) for _ in range(5)] + [rng.uniform(-6, 6, (6, 2))])
+    df = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "id long, vec array<double>")
+    got = {}
+    for r in clusters.density_clusters(df, block=20).collect():
+        if r["cluster_id"] >= 0:
+            got.setdefault(r["cluster_id"], set()).add(r["id"])
+    m, want = plain_hdbscan(points, clusters.MIN_SIZE, clusters.MIN_SAMPLES)
+    assert len(got) == len(want)
+    for c in want:
+        own = next(g for g in got.values() if c <= g)
+        # at equal distances a point may leave a cluster just when it begins, and then belongs to either
+        rest = [k for k in range(len(points)) if k not in own]
+        assert len(own - c) <= 2 and all(m[e, sorted(c)].min() >= m[np.ix_(rest, sorted(c))].min() for e in own - c)
+
+
+def test_nearest_by_matrix_and_by_loop(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.standard_normal((50, 4)))] + [(50, [0.0] * 4), (51, None)], "id long, vec array<double>")
+    centres = spark.createDataFrame([(7, [1.0, 0.0, 0.0, 0.0], 9), (3, [2.0, 0.0, 0.0, 0.0], 4), (5, [0.0, 1.0, 1.0, 0.0], 1)], "cluster_id int, centroid array<double>, first long")
+    one = {r["id"]: (r["cluster_id"], round(r["similarity"], 9)) for r in clusters.nearest(rows, centres).collect()}
+    monkeypatch.setattr(clusters, "MATRIX", 0)
+    assert one == {r["id"]: (r["cluster_id"], round(r["similarity"], 9)) for r in clusters.nearest(rows, centres).collect()}
+    assert len(one) == 51 and one[50] == (5, 0.0) and {c for c, _ in one.values()} == {3, 5}
+    assert clusters.nearest(rows, centres.limit(0)).count() == 0
+
+
+def test_reduced_dimensions(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 3)) @ rng.standard_normal((3, 8))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(200, None)], "id long, vec array<double>")
+    got = np.array([r["vec"] for r in clusters.reduce_dimensions(df, 3).orderBy("id").collect()])
+    apart = lambda v: ((v[:, None] - v[None]) ** 2).sum(2)
+    assert got.shape == (200, 3) and np.allclose(apart(got), apart(x)) and clusters.reduce_dimensions(df, 8).first()["vec"] == x[0].tolist()
+
+
+def test_fetch_waits_and_gives_up(spark):
+    import time
+
+    calls = []
+
+    def fetch(ticker, start, end):
+        calls.append(ticker)
+        if len(calls) < 3:
+            raise ValueError("again")
+        return "{}"
+
+    reader = market._Reader({"tickers": "A", "pause": "0.2"}, fetch)
+    began = time.time()
+    assert list(reader.read(reader.partitions()[0])) == [("A", "{}", None)] and len(calls) == 3 and time.time() - began >= 0.4
+    slow = market._Reader({"tickers": "A", "tries": "1", "timeout": "0.1"}, lambda *a: time.sleep(5))
+    assert list(slow.read(slow.partitions()[0]))[0][2].startswith("TimeoutError")
+
+
+def test_labels(spark):
+    assert clusters.accepted(' "Cloud Growth." ') == "Cloud Growth" and clusters.accepted(None) == "" and clusters.accepted("x" * 80) == ""
+
+
+def test_shared_folder_of_a_cluster():
+    from tessera import storage
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = conf
+
+    assert storage.shared_dir(Session(**{"spark.checkpoint.dir": "file:///x/"})) == "file:///x"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session(**{"spark.master": "spark://host:7077"}))
