@@ -122,6 +122,16 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
 
 # --- rows packed by bucket -------------------------------------------------------------------------------------------
 
+#: Values that are packed into one batch at most, so that their offsets stay within 32 bits.
+PACKED_AT_ONCE = 8_000_000
+
+
+def packed(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """`pack` of any number of values."""
+    for at in range(0, len(bucket), PACKED_AT_ONCE):
+        yield pack(bucket[at : at + PACKED_AT_ONCE], {k: v[at : at + PACKED_AT_ONCE] for k, v in columns.items()})
+
+
 def pack(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     """A row for each bucket, with its values as bytes: rows of Spark are few, and the shuffle moves plain arrays."""
     order = np.argsort(bucket, kind="stable")
