@@ -4,14 +4,15 @@ A document's fingerprint has 128 bits: bit i is set where more than half of its
 lower case) have bit i set in their own hash. Documents are near when at most `distance` bits differ; groups are the
 connected components of that relation.
 
-The bits are cut into 8 blocks of 16, so that two near fingerprints differ in at most distance // 8 = 1 bit of some block.
-In each block the anchors are the words of a perfect Hamming code on 15 of the bits, times the free 16th bit: 4,096 anchors
-with covering radius 1. Each fingerprint lies at its own anchor and is replicated to every anchor within the radius plus the
-block's share of the distance, 2, which are 8 or 9; fingerprints are compared at each anchor. No pair within the
-distance is missed, and there is no cap on partners.
-
-Distances from 16 to 23 leave a share of 2. Every value is an anchor then, and each fingerprint lies at the 17 within 1 of
-its own: two that differ in at most 2 bits of the block meet at one between them.
+The bits are cut into blocks, and near fingerprints differ in at most their share of the distance in some block. The anchors of a block are the words of a covering code; fingerprints are
+compared at each anchor. The code follows the number N of distinct fingerprints, so that comparing doesn't outgrow placing:
+
+- up to SPARSE of them and 15 bits: 8 blocks of 16, of which two near ones differ in at most 1 bit of some block. The code is a perfect Hamming code on 15 of the bits, times the free 16th: 4,096 anchors
+  with covering radius 1. Each fingerprint lies at its own anchor and is replicated to every anchor within the radius plus the share, 2, which are 8 or 9. It meets 0.017 N others.
+- beyond: so few and wide blocks that the share is 2, 6 of 21 or 22 bits for 15 bits of distance. The code has radius 0, every value being an anchor, and the share is split between both sides: each
+  fingerprint lies at the 22 or 23 values within 1 of its own, and two that differ in at most 2 bits of the block meet at one between them. It meets 0.0014 N others.
+
+No pair within the distance is missed, and there is no cap on partners.
 """
 
 from __future__ import annotations
@@ -25,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._arrays import ALNUM, U, components, hash_sql, mix, mix_sql, pack, parts, times_sql, unpack, word_hashes, words
-from tessera.llm._shared import buckets, connected, stored
+from tessera.llm._shared import buckets, connected, joined, letters, stored
 
 DISTANCE = 15
-BLOCKS, BLOCK_BITS, LOWER = 8, 16, 8
+BITS = 128
+BLOCKS, BLOCK_BITS = 8, 16
+#: Distinct fingerprints up to which the sparse code places for less than its comparisons cost.
+SPARSE = 100_000
 K1, K2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-KINDS = {"anchor": np.int32, "home": np.int8, "id": np.int64, "hi": np.uint64, "lo": np.uint64}
+KINDS = {"anchor": np.int64, "home": np.int8, "id": np.int64, "hi": np.uint64, "lo": np.uint64}
 PACKED = "bucket int, anchor binary, home binary, id binary, hi binary, lo binary"
 
 
@@ -75,31 +79,54 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, hi, lo): the halves of the fingerprint; null for a null or wordless text. One row for each row of docs."""
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), letters(F.col(text_col)).alias("text"))
     return cut.mapInArrow(_fingerprints, "doc_id long, hi long, lo long")
 
 
-def _replicate_within(n: int):
-    """For a share of 2: a bucket has the values of equal upper half, so that a fingerprint goes to one for its own value, from where `near_pairs` places it at those that differ in the lower half, and to 8 others."""
+def blocks_for(distance: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of as few blocks as leave a share of 2."""
+    m = distance // 3 + 1
+    edges = [BITS * k // m for k in range(m + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def _values(hi: np.ndarray, lo: np.ndarray, first: int, bits: int) -> np.ndarray:
+    """The bits of a block, hi having the first 64."""
+    mask = U((1 << bits) - 1) if bits < 64 else U(0xFFFFFFFFFFFFFFFF)
+    if first >= 64:
+        return (lo >> U(first - 64)) & mask
+    low = hi >> U(first)
+    return (low | (lo << U(64 - first) if first and first + bits > 64 else low)) & mask
+
+
+def _replicate_within(n: int, distance: int):
+    """For a share of 2: a bucket has the values of equal upper half, so that a fingerprint goes to one for its own value, from where `near_pairs` places it at those that differ in the lower half, and to one for each bit of the upper."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = np.array([0, *(1 << i for i in range(LOWER, BLOCK_BITS))])
+        blocks = blocks_for(distance)
         for batch in batches:
             for at in range(0, batch.num_rows, 10_000):
                 some = batch.slice(at, 10_000)
                 ids, hi, lo = (some.column(k).to_numpy() for k in (0, 1, 2))
-                blocks = np.stack([hi, lo], axis=1).view(np.uint16).astype(np.int64)
-                anchor = ((blocks[:, :, None] ^ masks) + (np.arange(BLOCKS) << BLOCK_BITS)[:, None]).ravel().astype(np.int32)
-                rows = np.repeat(np.arange(len(ids)), BLOCKS * len(masks))
-                home = np.tile(masks == 0, len(ids) * BLOCKS).astype(np.int8)
-                yield pack((anchor >> LOWER) % n, {"anchor": anchor, "home": home, "id": ids[rows], "hi": hi[rows], "lo": lo[rows]})
+                anchor, bucket, home, rows = [], [], [], []
+                for k, (first, bits) in enumerate(blocks):
+                    lower = bits // 2
+                    masks = np.array([0, *(1 << i for i in range(lower, bits))], np.int64)
+                    value = (_values(hi.view(U), lo.view(U), first, bits).astype(np.int64)[:, None] ^ masks).ravel()
+                    # the block's number is in the anchor, above its bits
+                    anchor.append(value | (k << 56))
+                    bucket.append((mix((value >> lower).astype(U) + (U(k) << U(56))) % U(n)).astype(np.int64))
+                    home.append(np.tile(masks == 0, len(ids)).astype(np.int8))
+                    rows.append(np.repeat(np.arange(len(ids)), len(masks)))
+                anchor, bucket, home, rows = map(np.concatenate, (anchor, bucket, home, rows))
+                yield pack(bucket, {"anchor": anchor, "home": home, "id": ids[rows], "hi": hi[rows], "lo": lo[rows]})
 
     return run
 
 
-def _replicate(n: int, distance: int = DISTANCE):
-    if distance >= 2 * BLOCKS:
-        return _replicate_within(n)
+def _replicate(n: int, distance: int = DISTANCE, wide: bool | None = None):
+    if distance >= 2 * BLOCKS if wide is None else wide:
+        return _replicate_within(n, distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, bounds, near, anchors = covering()
@@ -119,7 +146,7 @@ def _replicate(n: int, distance: int = DISTANCE):
                     rows.append(np.repeat(np.arange(len(value)), count))
                     anchor.append(near[np.arange(int(count.sum())) + shift] + k * anchors)
                     home.append(np.zeros(int(count.sum()), np.int8))
-                rows, anchor, home = np.concatenate(rows), np.concatenate(anchor).astype(np.int32), np.concatenate(home)
+                rows, anchor, home = np.concatenate(rows), np.concatenate(anchor).astype(np.int64), np.concatenate(home)
                 yield pack(anchor % n, {"anchor": anchor, "home": home, "id": ids[rows], "hi": hi[rows], "lo": lo[rows]})
 
     return run
@@ -151,12 +178,15 @@ def _pairs_of_all(cuts, ids, hi, lo, distance: int, small: int = 64) -> tuple[li
     return left, right
 
 
-def near_pairs(anchor, home, ids, hi, lo, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(anchor, home, ids, hi, lo, distance: int, wide: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs within the distance among the fingerprints of some anchors: of those at home with the others, or for a share of 2, of all."""
-    wide = distance >= 2 * BLOCKS
+    wide = distance >= 2 * BLOCKS if wide is None else wide
     if wide:
-        rows = np.concatenate([np.arange(len(anchor)), np.repeat(np.flatnonzero(home), LOWER)])
-        flip = np.concatenate([np.zeros(len(anchor), np.int32), np.tile(1 << np.arange(LOWER, dtype=np.int32), int(np.count_nonzero(home)))])
+        parts_ = [(np.arange(len(anchor)), np.zeros(len(anchor), np.int64))]
+        for k, (_, bits) in enumerate(blocks_for(distance)):
+            own = np.flatnonzero((anchor >> 56 == k) & (home > 0))
+            parts_.append((np.repeat(own, bits // 2), np.tile(1 << np.arange(bits // 2, dtype=np.int64), len(own))))
+        rows, flip = (np.concatenate(x) for x in zip(*parts_))
         anchor, home, ids, hi, lo = anchor[rows] ^ flip, home[rows], ids[rows], hi[rows], lo[rows]
     order = np.lexsort((home, anchor))
     anchor, home, ids, hi, lo = anchor[order], home[order], ids[order], hi[order], lo[order]
@@ -181,10 +211,10 @@ def near_pairs(anchor, home, ids, hi, lo, distance: int) -> tuple[np.ndarray, np
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
-def _compare(distance: int):
+def _compare(distance: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = unpack(list(batches), KINDS)
-        a, b = near_pairs(x["anchor"], x["home"], x["id"], x["hi"].view(U), x["lo"].view(U), distance)
+        a, b = near_pairs(x["anchor"], x["home"], x["id"], x["hi"].view(U), x["lo"].view(U), distance, wide)
         # a spanning star of what is connected here says as much as all its pairs
         nodes, root = components(a, b)
         other = nodes != root
@@ -200,27 +230,31 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     Documents without a near duplicate, with a null id, or with a null or wordless text are in no group. doc_id names the document:
     rows that repeat it are one document, whose fingerprint is the least of theirs. Other columns are not looked at.
     """
-    if not 0 <= distance < 3 * BLOCKS:
-        raise ValueError(f"distance must be within 0 and {3 * BLOCKS - 1}")
+    if not 0 <= distance < BITS // 2:
+        raise ValueError(f"distance must be within 0 and {BITS // 2 - 1}")
     spark = docs.sparkSession
     prints = fingerprints(docs, id_col, text_col).where("doc_id is not null and hi is not null")
     prints = prints.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("p"))
     prints = stored(prints.select("doc_id", "p.*"), "fingerprints")
-    distinct = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"))
+    distinct = stored(prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "distinct")
     n = buckets(spark)
-    moved = distinct.select("id", "hi", "lo").mapInArrow(_replicate(n, distance), PACKED)
-    edges = moved.repartitionById(n, "bucket").mapInArrow(_compare(distance), "a long, b long")
-    root = connected(edges)
-    owner = prints.join(distinct, ["hi", "lo"]).select("doc_id", "id")
-    grouped = owner.join(root, "id", "left").select("doc_id", F.coalesce("root", "id").alias("group_id"))
-    sized = grouped.groupBy("group_id").agg(F.count("*").alias("n_group")).where("n_group > 1")
-    return grouped.join(sized, "group_id").select("doc_id", "group_id", "n_group", (F.col("doc_id") == F.col("group_id")).alias("kept"))
+    wide = distance >= 2 * BLOCKS or distinct.count() > SPARSE
+    moved = distinct.select("id", "hi", "lo").mapInArrow(_replicate(n, distance, wide), PACKED)
+    edges = moved.repartitionById(n, "bucket").mapInArrow(_compare(distance, wide), "a long, b long")
+    grouped = distinct.join(connected(edges), "id", "left").select("hi", "lo", "n", F.coalesce("root", "id").alias("group_id"))
+    sized = grouped.groupBy("group_id").agg(F.sum("n").alias("n_group"), F.count("*").alias("own")).where("n_group > 1")
+    # copies have one fingerprint, which may be that of a third of all documents
+    found = joined(prints, joined(grouped, sized, ["group_id"], "own", "hi"), ["hi", "lo"], "n", "doc_id")
+    return found.select("doc_id", "group_id", "n_group", (F.col("doc_id") == F.col("group_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, one document of each group of near duplicates; documents in no group stay, see `near_duplicates`."""
-    dropped = near_duplicates(docs, distance, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, docs[id_col].cast("long") == dropped["__dropped"], "left_anti")
+    dropped = near_duplicates(docs, distance, id_col, text_col).where("not kept").select("doc_id")
+    # the columns have other names meanwhile, as theirs may be any
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    kept = rows.join(dropped, F.col(f"c{docs.columns.index(id_col)}").cast("long") == F.col("doc_id"), "left_anti")
+    return kept.toDF(*docs.columns)
 
 
 _bits = f"[{mix_sql(times_sql('f', K1))}, {mix_sql(times_sql('f', K2))}]"
@@ -228,10 +262,10 @@ _bits = f"[{mix_sql(times_sql('f', K1))}, {mix_sql(times_sql('f', K2))}]"
 SQL = f"""
 WITH RECURSIVE vocabulary AS MATERIALIZED (
   SELECT w, {hash_sql("w")} >> 16 AS f
-  FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS w FROM documents WHERE doc_id IS NOT NULL)
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}]+')) AS w FROM documents WHERE doc_id IS NOT NULL)
 ), hashed AS MATERIALIZED (SELECT w, f, {_bits} AS h FROM vocabulary),
 doc_words AS MATERIALIZED (
-  SELECT DISTINCT doc_id, f, h FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS w FROM documents WHERE doc_id IS NOT NULL) JOIN hashed USING (w)
+  SELECT DISTINCT doc_id, f, h FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}]+')) AS w FROM documents WHERE doc_id IS NOT NULL) JOIN hashed USING (w)
 ), ones AS (
   SELECT doc_id, b, 2 * sum((h[1 + b // 64] >> (b % 64)) & 1) > count(*) AS bit FROM doc_words, range(128) AS t(b) GROUP BY doc_id, b
 ), prints AS MATERIALIZED (

@@ -7,7 +7,11 @@ D is a perfect difference set modulo v: any two places of the corpus come into D
 the windows of min_words - v + 1 words that start at a place in D (modulo v, within their document) are hashed and shuffled, as
 anchors; two equal passages share an aligned anchor at the same depth. Where an anchor's hash occurs twice, all passages around it are
 candidates, and the anchor is extended to these: their own hashes are grouped, the first place of each is its origin and
-all others are repeats. All repeats of the length are found, and no passage that isn't one.
+all others are repeats. All repeats of the length are found. Passages are told apart by 96 bits: of 10^13 passages, 100 TB, two
+that differ are taken for one with a chance of 1 in 1600; anchors by 64, as a chance match only adds a candidate.
+
+A passage may be in a third of all documents. A task that reads documents settles what it sees twice itself and sends each hash on once; only the first KEPT places of a
+passage that it meets go where the hash is, the others wait where the document is and are told its origin. So of one passage, one task gets KEPT + 1 places from each of the others at most.
 """
 
 from __future__ import annotations
@@ -19,14 +23,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._arrays import U, mix, pack, parts, unpack, windows, word_hashes, words
+from tessera.llm._arrays import PACKED_AT_ONCE, U, mix, pack, packed, parts, unpack, windows, word_hashes, words
 from tessera.llm._shared import buckets
 
 MIN_WORDS = 50
 #: Perfect difference sets: every difference modulo v comes up exactly once.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 73: (0, 1, 3, 7, 15, 31, 36, 54, 63)}
-PACKED = "bucket int, hash binary, doc binary, pos binary"
-FLAGS = "bucket int, doc binary, pos binary"
+#: Anchors that a task looks for repeats among at once, and places of a passage that it sends to where its hash is.
+AT_ONCE, KEPT = 3_000_000, 8
+#: kind 0: places to be looked up by their hash; 1: places that are known to be repeats; 2: the first place of a hash of which more wait, `at` the bucket where they do.
+PACKED = "bucket int, kind int, hash binary, check binary, doc binary, pos binary, at binary"
+KINDS = {"hash": np.uint64, "check": np.uint32, "doc": np.int64, "pos": np.int32, "at": np.int32}
+
+
+def _rows(kind: int, bucket: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Packed places; columns that aren't given are empty."""
+    full = {c: columns[c].astype(t) for c, t in KINDS.items() if c in columns}
+    for batch in packed(bucket.astype(np.int64), full):
+        n = batch.num_rows
+        none = pa.array([None] * n, pa.binary())
+        cols = [batch.column("bucket"), pa.array(np.full(n, kind, np.int32)), *(batch.column(c) if c in full else none for c in KINDS)]
+        yield pa.RecordBatch.from_arrays(cols, names=["bucket", "kind", *KINDS])
+
+
+def _by_kind(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...]) -> dict[int, list[pa.RecordBatch]]:
+    out: dict[int, list[pa.RecordBatch]] = {k: [] for k in kinds}
+    for batch in batches:
+        of = batch.column("kind").to_numpy()
+        for k in kinds:
+            if (of == k).any():
+                out[k].append(batch.filter(pa.array(of == k)))
+    return out
 
 
 def period_for(min_words: int) -> int:
@@ -52,27 +79,54 @@ def _laid_out(offsets: np.ndarray, data: np.ndarray, n_docs: int):
     return word_hashes(data, starts, ends), row, np.arange(len(row)) - first[row], count
 
 
-def _anchors(n: int, min_words: int, period: int):
+def _hash_bucket(hashes: np.ndarray, n: int) -> np.ndarray:
+    return ((hashes >> U(33)) % U(n)).astype(np.int64)
+
+
+def _anchors(n: int, min_words: int, period: int, at_once: int):
+    """Anchors that a task has once, by their hash; those that it has several times, once by their hash and all by their documents, as repeats."""
+
+    def settled(hashes, docs, places):
+        h, doc, pos = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places)
+        order = np.argsort(h, kind="stable")
+        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        alone = np.zeros(len(h), bool)
+        alone[order] = new & np.concatenate([new[1:], [True]])
+        first = np.zeros(len(h), bool)
+        first[order[new]] = True
+        yield from _rows(0, _hash_bucket(h[first], n), hash=h[first], doc=doc[first], pos=pos[first])
+        if not alone.all():
+            again = ~alone
+            yield from _rows(1, _doc_bucket(doc[again], n), doc=doc[again], pos=pos[again])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = min_words - period + 1
         cover = np.isin(np.arange(period), COVERS[period])
+        held, size = [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for a, b, offsets, data in parts(batch.column("text")):
                 h, row, pos, count = _laid_out(offsets, data, b - a)
                 keep = cover[pos % period] & (pos + width <= count[row]) & (count[row] >= min_words)
                 if keep.any():
-                    hashes = windows(h, width)[keep]
-                    yield pack(((hashes >> U(33)) % U(n)).astype(np.int64), {"hash": hashes, "doc": ids[a + row[keep]], "pos": pos[keep].astype(np.int32)})
+                    held.append((windows(h, width)[keep], ids[a + row[keep]], pos[keep].astype(np.int32)))
+                    size += len(held[-1][0])
+                    if size > at_once:
+                        yield from settled(*zip(*held))
+                        held, size = [], 0
+        if held:
+            yield from settled(*zip(*held))
 
     return run
 
 
 def _repeated(n: int):
-    """Places of the anchors whose hash is there twice, packed by document."""
+    """Places of the anchors whose hash is there twice, and those known before, packed by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = unpack(list(batches), {"hash": np.uint64, "doc": np.int64, "pos": np.int32})
+        of = _by_kind(batches, (0, 1))
+        yield from of[1]
+        x = unpack(of[0], {k: KINDS[k] for k in ("hash", "doc", "pos")})
         order = np.argsort(x["hash"], kind="stable")
         h = x["hash"][order]
         same = h[1:] == h[:-1]
@@ -82,18 +136,44 @@ def _repeated(n: int):
         order = order[twice]
         if len(order):
             doc = x["doc"][order]
-            yield pack(_doc_bucket(doc, n), {"doc": doc, "pos": x["pos"][order]})
+            yield from _rows(1, _doc_bucket(doc, n), doc=doc, pos=x["pos"][order])
 
     return run
 
 
-def _candidates(n: int, min_words: int, width: int):
-    """The passages around repeated anchors. In each partition the flags come before the texts."""
+def _check(data: np.ndarray, offsets: np.ndarray, min_words: int) -> np.ndarray:
+    """32 more bits of the passage from each word on, by other powers than the hash."""
+    starts, ends, _ = words(offsets, data)
+    return (windows(mix(word_hashes(data, starts, ends) ^ U(0xA5A5A5A5A5A5A5A5)), min_words) >> U(32)).astype(np.uint32)
+
+
+def _candidates(n: int, min_words: int, width: int, kept: int, at_once: int):
+    """The passages around repeated anchors. In each partition the flags come before the texts. Of a passage that is met more than `kept` times, the first of each part of the texts go to its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, docs, places, bounds = [], None, None, None
+        met: dict[str, list[np.ndarray]] = {k: [] for k in ("hash", "check", "doc", "pos")}
+        size, bucket = 0, None
+
+        def settled():
+            h, check, doc, pos = (np.concatenate(met[k]) for k in ("hash", "check", "doc", "pos"))
+            order = np.lexsort((pos, doc, check, h))
+            h, check, doc, pos = h[order], check[order], doc[order], pos[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])])
+            start = np.flatnonzero(new)
+            count = np.diff(np.append(start, len(h)))
+            many = np.repeat(count > kept, count)
+            few = np.flatnonzero(~many)
+            few = few[np.lexsort((pos[few], doc[few]))]
+            yield from _rows(0, _hash_bucket(h[few], n), hash=h[few], check=check[few], doc=doc[few], pos=pos[few])
+            if many.any():
+                head = start[count > kept]
+                yield from _rows(2, _hash_bucket(h[head], n), hash=h[head], check=check[head], doc=doc[head], pos=pos[head], at=np.full(len(head), bucket))
+                yield from _rows(1, np.full(int(many.sum()), bucket), hash=h[many], check=check[many], doc=doc[many], pos=pos[many])
+
         for batch in batches:
-            is_text = batch.column("kind").to_numpy() == 1
+            bucket = batch.column("bucket")[0].as_py() if batch.num_rows and bucket is None else bucket
+            is_text = batch.column("kind").to_numpy() == 3
             if docs is None:
                 head = batch.slice(0, int(np.searchsorted(is_text, True)))
                 flags.append(head.select(["doc", "pos"]))
@@ -125,35 +205,70 @@ def _candidates(n: int, min_words: int, width: int):
                 np.add.at(mark, first[doc[ok]] + high[ok], -1)
                 keep = np.cumsum(mark[:-1]) > 0
                 if keep.any():
-                    hashes = windows(h, min_words)[keep]
-                    yield pack(((hashes >> U(33)) % U(n)).astype(np.int64), {"hash": hashes, "doc": ids[a + row[keep]], "pos": pos[keep].astype(np.int32)})
+                    for name, values in (("hash", windows(h, min_words)[keep]), ("check", _check(data, offsets, min_words)[keep]), ("doc", ids[a + row[keep]]), ("pos", pos[keep].astype(np.int32))):
+                        met[name].append(values)
+                    size += len(met["hash"][-1])
+                    if size > at_once:
+                        yield from settled()
+                        met, size = {k: [] for k in met}, 0
+        if size:
+            yield from settled()
 
     return run
 
 
 def _later(n: int):
-    """All places but the first of each passage, with the first's document, packed by document."""
+    """All places but the first of each passage, with the first's document, packed by document; and the first place of each passage of which more wait, packed by where they do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = unpack(list(batches), {"hash": np.uint64, "doc": np.int64, "pos": np.int32})
-        order = np.lexsort((x["pos"], x["doc"], x["hash"]))
-        h, doc, pos = (x[c][order] for c in ("hash", "doc", "pos"))
+        of = _by_kind(batches, (0, 1, 2))
+        for waiting in of[1]:
+            yield waiting.append_column("origin", pa.array([None] * waiting.num_rows, pa.binary()))
+        kinds = {k: KINDS[k] for k in ("hash", "check", "doc", "pos")}
+        x, y = unpack(of[0], kinds), unpack(of[2], KINDS)
+        own = len(x["hash"])
+        h, check, doc, pos = (np.concatenate([x[k], y[k]]) for k in kinds)
         if not len(h):
             return
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        start = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = (doc != doc[start]) | (pos != pos[start])
-        if later.any():
-            yield pack(_doc_bucket(doc[later], n), {"doc": doc[later], "pos": pos[later], "origin": doc[start][later]})
+        order = np.lexsort((pos, doc, check, h))
+        new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])])
+        first = np.empty(len(h), np.int64)
+        first[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        later = np.flatnonzero((doc != doc[first]) | (pos != pos[first]))
+        later = later[later < own]
+        later = later[np.lexsort((pos[later], doc[later]))]
+        if len(later):
+            yield from _with_origin(0, _doc_bucket(doc[later], n), doc[first[later]], doc=doc[later], pos=pos[later])
+        told = np.arange(own, len(h))
+        if len(told):
+            yield from _with_origin(2, y["at"].astype(np.int64), doc[first[told]], hash=h[told], check=check[told], pos=pos[first[told]])
 
     return run
 
 
+def _with_origin(kind: int, bucket: np.ndarray, origin: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(bucket), PACKED_AT_ONCE):
+        part = slice(a, a + PACKED_AT_ONCE)
+        batch = pack(bucket[part].astype(np.int64), {**{c: v[part].astype(KINDS[c]) for c, v in columns.items()}, "origin": origin[part].astype(np.int64)})
+        none = pa.array([None] * batch.num_rows, pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(np.full(batch.num_rows, kind, np.int32)), *(batch.column(c) if c in columns else none for c in KINDS), batch.column("origin")], names=["bucket", "kind", *KINDS, "origin"])
+
+
 def _spans(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = unpack(list(batches), {"doc": np.int64, "pos": np.int32, "origin": np.int64})
-        order = np.lexsort((x["origin"], x["pos"], x["doc"]))
-        doc, pos, origin = (x[c][order] for c in ("doc", "pos", "origin"))
+        of = _by_kind(batches, (0, 1, 2))
+        x = unpack(of[0], {"doc": np.int64, "pos": np.int32, "origin": np.int64})
+        doc, pos, origin = x["doc"], x["pos"], x["origin"]
+        if of[1]:
+            wait = unpack(of[1], {k: KINDS[k] for k in ("hash", "check", "doc", "pos")})
+            told = unpack(of[2], {"hash": np.uint64, "check": np.uint32, "pos": np.int32, "origin": np.int64})
+            key = lambda y: mix(y["hash"] ^ (y["check"].astype(U) << U(32)))
+            order = np.argsort(key(told), kind="stable")
+            at = order[np.searchsorted(key(told)[order], key(wait))]
+            later = (wait["doc"] != told["origin"][at]) | (wait["pos"] != told["pos"][at])
+            doc, pos, origin = np.concatenate([doc, wait["doc"][later]]), np.concatenate([pos, wait["pos"][later]]), np.concatenate([origin, told["origin"][at][later]])
+        order = np.lexsort((origin, pos, doc))
+        doc, pos, origin = doc[order], pos[order], origin[order]
         if not len(doc):
             return
         # rows that repeat an id give the same places again
@@ -181,13 +296,13 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     spark, period = docs.sparkSession, period_for(min_words)
     n, width = buckets(spark), min_words - period + 1
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    anchors = cut.mapInArrow(_anchors(n, min_words, period), PACKED).repartitionById(n, "bucket")
-    flags = anchors.mapInArrow(_repeated(n), FLAGS).select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("doc_id"), F.lit("").alias("text"), "doc", "pos")
+    anchors = cut.mapInArrow(_anchors(n, min_words, period, AT_ONCE), PACKED).repartitionById(n, "bucket")
+    flags = anchors.mapInArrow(_repeated(n), PACKED).select("bucket", "kind", F.lit(0).cast("long").alias("doc_id"), F.lit("").alias("text"), "doc", "pos")
     nothing = F.lit(None).cast("binary")
-    texts = cut.select(_doc_bucket_column(n).alias("bucket"), F.lit(1).alias("kind"), "doc_id", "text", nothing.alias("doc"), nothing.alias("pos"))
+    texts = cut.select(_doc_bucket_column(n).alias("bucket"), F.lit(3).alias("kind"), "doc_id", "text", nothing.alias("doc"), nothing.alias("pos"))
     both = flags.unionAll(texts).repartitionById(n, "bucket").sortWithinPartitions("kind")
-    passages = both.mapInArrow(_candidates(n, min_words, width), PACKED).repartitionById(n, "bucket")
-    later = passages.mapInArrow(_later(n), FLAGS + ", origin binary").repartitionById(n, "bucket")
+    passages = both.mapInArrow(_candidates(n, min_words, width, KEPT, AT_ONCE), PACKED).repartitionById(n, "bucket")
+    later = passages.mapInArrow(_later(n), PACKED + ", origin binary").repartitionById(n, "bucket")
     return later.mapInArrow(_spans(min_words), "doc_id long, start_word int, end_word int, first_doc_id long")
 
 
@@ -221,14 +336,15 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     Rows without a span are as they were, null ids and texts among them. Where the text is cut, chars_col, if there is such a
     column, becomes its length. White space that stood before a kept word stays, but at the start.
     """
-    spans = repeats(docs, min_words, id_col, text_col).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans"))
-    joined = docs.join(spans, docs[id_col].cast("long") == spans["__id"], "left").drop("__id")
+    spans = repeats(docs, min_words, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     names = docs.columns
-    fields = [F.col(c).alias(f"c{i}") for i, c in enumerate(names)]
     text = names.index(text_col)
-    whole = joined.where("__spans is null").select(*names)
-    hit = joined.where("__spans is not null").select(*(f for i, f in enumerate(fields) if i != text), F.col(text_col).alias("text"), F.col("__spans").alias("spans"))
-    kinds = dict(docs.dtypes)
+    # the columns have other names until the end, as theirs may be any
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    found = rows.join(spans, F.col(f"c{names.index(id_col)}").cast("long") == F.col("doc_id"), "left")
+    whole = found.where("spans is null").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+    hit = found.where("spans is not null").select(*(f"c{i}" for i in range(len(names)) if i != text), F.col(f"c{text}").alias("text"), "spans")
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in names}
     schema = ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(names) if i != text) + ", text string"
     cut = hit.mapInArrow(_cut, schema).where("text <> ''")
     back = [

@@ -72,7 +72,8 @@ def test_simhash(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0 and simhash.near_duplicates(table(spark, ["a b"] * 3, [None, 1, 1])).count() == 0
 
 
-def test_simhash_pairs_are_complete():
+@pytest.mark.parametrize("wide", [False, True])
+def test_simhash_pairs_are_complete(wide):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, (30, 2), np.int64).view(np.uint64)
     rows = [base]
@@ -87,13 +88,13 @@ def test_simhash_pairs_are_complete():
 
     ids = np.arange(len(x))
     batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(x[:, 0].view(np.int64)), pa.array(x[:, 1].view(np.int64))], names=["id", "hi", "lo"])
-    moved = simhash.unpack(list(simhash._replicate(1)([batch])), simhash.KINDS)
-    a, b = simhash.near_pairs(moved["anchor"], moved["home"], moved["id"], moved["hi"].view(np.uint64), moved["lo"].view(np.uint64), 15)
+    moved = simhash.unpack(list(simhash._replicate(1, 15, wide)([batch])), simhash.KINDS)
+    a, b = simhash.near_pairs(moved["anchor"], moved["home"], moved["id"], moved["hi"].view(np.uint64), moved["lo"].view(np.uint64), 15, wide)
     apart = np.bitwise_count(x[:, None, :] ^ x[None]).sum(2)
     assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if apart[i, j] <= 15}
 
 
-@pytest.mark.parametrize("distance", [16, 20, 23])
+@pytest.mark.parametrize("distance", [3, 16, 20, 23, 31])
 def test_simhash_pairs_are_complete_beyond_a_share_of_1(distance):
     import pyarrow as pa
 
