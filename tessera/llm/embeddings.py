@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._arrays import U, components, mix, pack, unpack
-from tessera.llm._shared import buckets, connected, stored
+from tessera.llm._shared import buckets, connected, joined, stored
 
 COSINE = 0.9
 TABLES, PROBES = 4, 4
@@ -182,16 +182,35 @@ def _compare(dim: int, cosine: float, spanning: bool):
     return run
 
 
+def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 10_000):
+            ids, vectors = (batch.slice(at, 10_000).column(k) for k in (0, 1))
+            sizes = np.diff(vectors.offsets.to_numpy())
+            sizes[np.asarray(vectors.is_null())] = 0
+            flat = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), float)
+            # a null is no number here
+            whole = sizes > 0
+            starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+            norm = np.zeros(len(sizes))
+            if whole.any():
+                norm[whole] = np.sqrt(np.add.reduceat(flat * flat, starts[whole]))
+            good = whole & np.isfinite(norm) & (norm > 0)
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            keep = good[of]
+            values = pa.array((flat[keep] / norm[of[keep]]).astype(np.float32))
+            offsets = np.concatenate([[0], np.cumsum(sizes[good])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(good)), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["id", "v"])
+
+
 def unit_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, v): vectors at unit length, of rows that repeat an id one of them. Null ids and vectors, vectors with a null or non-finite component, and zero or empty vectors are left out."""
-    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    cut = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), norm.alias("n")).where("id is not null and n > 0 and n < double('infinity') and not isnan(n)")
-    return cut.groupBy("id").agg(F.min("v").alias("v")).select("id", F.expr("transform(v, x -> cast(x / sqrt(aggregate(v, 0D, (s, y) -> s + y * y)) as float))").alias("v"))
+    cut = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null")
+    return cut.mapInArrow(_unit, "id long, v array<float>").groupBy("id").agg(F.min("v").alias("v"))
 
 
 def near_pairs(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, cell: int = CELL, spanning: bool = False) -> DataFrame:
-    """(a, b), a < b, of (id, v) at cosine or above, by at least `tables` tables; spanning: only as many as connect what is connected."""
+    """(a, b), a < b, of (id, v) at cosine or above, by at least `tables` tables; spanning: only as many as connect what is connected. ids are unique; an empty table has no pair."""
     spark, n = vectors.sparkSession, buckets(vectors.sparkSession)
     kinds = {r["d"]: r["n"] for r in vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
     found = spark.createDataFrame([], "a long, b long")
@@ -208,20 +227,36 @@ def near_pairs(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES,
 
 
 def near_duplicates(rows: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, group_id, n_group, kept) of the vectors that have near duplicates; group_id is the least id of the group, which is kept. See `unit_vectors` for what is left out."""
+    """(vec_id, group_id, n_group, kept) of the vectors that have near duplicates; group_id is the least id of the group, which is kept. See `unit_vectors` for what is left out.
+
+    Rows that repeat an id are one vector, the least of theirs; equal vectors are near. An empty table gives no row; other columns aren't looked at.
+    """
     vectors = stored(unit_vectors(rows, id_col, vec_col), "vectors")
-    equal = vectors.groupBy("v").agg(F.min("id").alias("id"))
-    root = connected(near_pairs(stored(equal.select("id", "v"), "distinct"), cosine, tables, probes, spanning=True))
-    owner = vectors.join(equal.withColumnRenamed("id", "own"), "v").select("id", "own")
-    grouped = owner.join(root.withColumnRenamed("id", "own"), "own", "left").select(F.col("id").alias("vec_id"), F.coalesce("root", "own").alias("group_id"))
-    sized = grouped.groupBy("group_id").agg(F.count("*").alias("n_group")).where("n_group > 1")
-    return grouped.join(sized, "group_id").select("vec_id", "group_id", "n_group", (F.col("vec_id") == F.col("group_id")).alias("kept"))
+    equal = stored(vectors.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct")
+    root = connected(near_pairs(equal.select("id", "v"), cosine, tables, probes, spanning=True))
+    grouped = equal.join(root, "id", "left").select("v", "n", "id", F.coalesce("root", "id").alias("group_id"))
+    sized = grouped.groupBy("group_id").agg(F.sum("n").alias("n_group"), F.count("*").alias("own")).where("n_group > 1")
+    # copies of one vector may be a third of all rows
+    found = joined(vectors.withColumnRenamed("id", "vec_id"), joined(grouped, sized, ["group_id"], "own", "id").drop("id"), ["v"], "n", "vec_id")
+    return found.select("vec_id", "group_id", "n_group", (F.col("vec_id") == F.col("group_id")).alias("kept"))
+
+
+def with_near_copies(rows: DataFrame, every: int = 20, shift: int = 1_000_000_000, by: float = 0.2) -> DataFrame:
+    """(vec_id, embedding) of the rows, and a copy of every twentieth, which has one component moved by a fifth of its length: the same vectors in the query and its SQL, so that near ones are there at any size."""
+    own = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    moved = F.transform("embedding", lambda x, i: F.when(i == F.pmod(F.col("vec_id"), F.size("embedding")), x + by * norm).otherwise(x))
+    return own.unionAll(own.where(F.col("vec_id") % every == 0).select(F.col("vec_id") + shift, moved))
 
 
 SQL = f"""
-WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+WITH RECURSIVE own AS (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+v AS MATERIALIZED (
+  SELECT * FROM own UNION ALL
+  SELECT vec_id + 1000000000, list_transform(embedding, lambda x, i: CASE WHEN i = 1 + vec_id % len(embedding) THEN x + 0.2 * sqrt(list_dot_product(embedding, embedding)) ELSE x END) FROM own WHERE vec_id % 20 = 0
+),
 edges AS MATERIALIZED (
-  SELECT x.vec_id AS a, y.vec_id AS b FROM v x, v y WHERE x.vec_id <> y.vec_id AND list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= {COSINE}
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x, v y WHERE x.vec_id <> y.vec_id AND list_cosine_similarity(x.embedding, y.embedding) >= {COSINE}
 ), reach AS (
   SELECT vec_id AS id, vec_id AS root FROM v
   UNION

@@ -47,7 +47,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    """Groups of near vectors, those of the table and a near copy of every twentieth."""
+    return embeddings.near_duplicates(embeddings.with_near_copies(_table(spark, sf_dir, "embeddings")))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
