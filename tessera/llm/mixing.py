@@ -34,6 +34,7 @@ def mix_sources(
     quality: DataFrame | None = None,
     temperature: float = TEMPERATURE,
     seed: int = 0,
+    unknown: float = 1.0,
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
@@ -41,21 +42,21 @@ def mix_sources(
     """(doc_id, source, n_tokens, copies) of the documents that are taken once or more.
 
     weights: of the sources, in any unit; a source without one gets nothing. None: in proportion to tokens ** temperature.
-    budget: tokens in all; None: as many as docs have. quality: (doc_id, weight); where there is none, the weight is 1; where it is 0
+    budget: tokens in all; None: as many as docs have. quality: (doc_id, weight); where there is none, or one that is null or no number, the weight is `unknown`; where it is 0
     or less, the document comes last; of several, the largest counts. Rows that repeat an id are one document with the tokens of all of them, of the
     least source. A null source counts as ''; rows with a null id aren't taken; a null text has 0 tokens. Keys that tie go by id.
-    A source without tokens gets no complete epochs, and all its documents fit in the rest.
+    A source without tokens gets no complete epochs, and all its documents fit in the rest. An empty table gives no row; other columns aren't looked at.
     """
     spark = docs.sparkSession
     units = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), tokens(F.col(text_col)).alias("n_tokens")).where("doc_id is not null")
     units = units.groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("n_tokens").alias("n_tokens"))
     if quality is not None:
-        best = quality.toDF("doc_id", "weight").groupBy("doc_id").agg(F.max("weight").alias("weight"))
-        units = units.join(best, "doc_id", "left")
+        known = quality.toDF("doc_id", "weight").where("doc_id is not null and weight is not null and not isnan(weight)")
+        units = units.join(known.groupBy("doc_id").agg(F.max("weight").alias("weight")), "doc_id", "left")
     else:
-        units = units.withColumn("weight", F.lit(1.0))
+        units = units.withColumn("weight", F.lit(None).cast("double"))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0))
+    weight = F.coalesce(F.col("weight").cast("double"), F.lit(float(unknown)))
     units = units.select("doc_id", "source", "n_tokens", F.when(weight > 0, -F.ln(u) / weight).otherwise(F.lit(float("inf"))).alias("k"))
     units = stored(units.withColumn("r", F.floor((1 - F.exp(-F.col("k"))) * RANGES).cast("int")), "units")
 
@@ -86,20 +87,19 @@ def mix_sources(
     return whole_rows.unionAll(some_rows).where("copies > 0")
 
 
-def label_weights(labels: DataFrame, docs: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, weight) from (doc_id, quality); with docs, also of those without a label. A null quality is no label."""
+def label_weights(labels: DataFrame) -> DataFrame:
+    """(doc_id, weight) from (doc_id, quality): GOOD or BAD. A null id or quality is no label; of several the largest counts."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("q"))
-    if docs is None:
-        return known.select("doc_id", F.when(F.col("q") > 0, GOOD).otherwise(BAD).alias("weight"))
-    ids = docs.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct().join(known, "doc_id", "left")
-    return ids.select("doc_id", F.when(F.col("q") > 0, GOOD).when(F.col("q").isNotNull(), BAD).otherwise(UNKNOWN).alias("weight"))
+    return known.select("doc_id", F.when(F.col("q") > 0, GOOD).otherwise(BAD).alias("weight"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs, each as often as `mix_sources` takes it; rows with a null id go."""
-    taken = mix_sources(docs, id_col=id_col, **how).select(F.col("doc_id").alias("__id"), F.col("copies").cast("int").alias("__copies"))
-    joined = docs.join(taken, docs[id_col] == taken["__id"])
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """The rows of docs, each as often as `mix_sources` takes it, with all their columns; rows with a null id go, and rows that repeat an id are taken as one document, each as often."""
+    taken = mix_sources(docs, id_col=id_col, **how).select("doc_id", F.col("copies").cast("int").alias("copies"))
+    # the columns have other names meanwhile, as theirs may be any
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    found = rows.join(taken, F.col(f"c{docs.columns.index(id_col)}") == F.col("doc_id"))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*rows.columns).toDF(*docs.columns)
 
 
 SQL = f"""

@@ -12,37 +12,45 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of 50 words or more that occur earlier, of all documents."""
     return substring.repeats(_table(spark, sf_dir, "documents"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, and the first capture of each URL and content read back."""
     index = warc.write_pages(_table(spark, sf_dir, "pages"))
     return warc.read_records(warc.first_captures(index))
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, and the md5 of what they decode to."""
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
 def op4_shard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard, of 64, of all documents, those with one text together."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken, by sources and labels."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    return mixing.mix_sources(docs, quality=mixing.label_weights(labels, docs))
+    return mixing.mix_sources(docs, quality=mixing.label_weights(labels), unknown=mixing.UNKNOWN)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The learned rule that rejects each document, if any."""
     docs = _table(spark, sf_dir, "documents")
     return rules.judge(docs, rules.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near duplicates among all documents."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses in all documents."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
@@ -52,6 +60,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content region of all pages."""
     pages = _table(spark, sf_dir, "pages")
     return html.extract_pages(pages, html.fit(pages))
 

@@ -23,10 +23,13 @@ SPACE = r"[ \t\n\x0B\f\r]+"
 
 
 def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the features in front, each named __f_ and its name: null where the text is null, and ratios where it has no character or word.
+    """The features of docs' texts, each named __f_ and its name, in front of docs' columns, which are named c0, c1 and so on: null where the text is null, and ratios where it has no character or word.
 
     They are generated, as filters on projected columns would be moved below and their texts cut into words again for each use.
     """
+    at = docs.columns.index(text_col)
+    docs = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text_col = f"c{at}"
     text = docs[text_col]
     words, lines, n = F.col("__words"), F.col("__lines"), F.length(text)
     ratio = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
@@ -130,15 +133,16 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, held_out: np.ndarray) -> li
     return rules
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
-    """Rules learned from (doc_id, quality), bad where 0; null ids and qualities are no labels, of several the least counts.
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> list[Rule]:
+    """Rules learned from labels (doc_id, quality), bad where 0; null ids and qualities are no labels, of several the least counts. Rows of docs that repeat as a whole count once, and those of one id
+    with other texts each; without labels or documents there is no rule.
 
     At most max_labelled labels are used, those with the least hash of their id; their ids are what is broadcast.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    text = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    rows = with_features(text).select("doc_id", "quality", *(F.col(f"__f_{c}").alias(c) for c in NAMES)).toPandas()
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text")
+    rows = with_features(text).select(F.col("c0").alias("doc_id"), F.col("c1").alias("quality"), *(F.col(f"__f_{c}").alias(c) for c in NAMES)).toPandas()
     rows = rows.drop_duplicates().sort_values(["doc_id", *NAMES], kind="stable")
     x = {c: rows[c].to_numpy(float) for c in NAMES}
     held_out = rows["doc_id"].map(lambda d: hash((int(d) * 2654435761) >> 7) % 3 == 0).to_numpy(bool)
@@ -156,13 +160,14 @@ def decide(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(doc_id, rule, reason, rejected), one row for each row of docs. A null or empty text is kept: no condition holds without a value."""
+def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, rule, reason, rejected), one row for each row of docs. A null or empty text is kept: no condition holds without a value. Rows that repeat are judged alike."""
     said = F.element_at(F.array(F.lit(""), *(F.lit(" and ".join(map(str, r))) for r in rules)), F.col("rule") + 1)
-    found = with_features(docs.select("doc_id", "text")).select("doc_id", decide(rules).alias("rule"))
+    found = with_features(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select(F.col("c0").alias("doc_id"), decide(rules).alias("rule"))
     return found.select("doc_id", "rule", said.alias("reason"), (F.col("rule") > 0).alias("rejected"))
 
 
-def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The rows of docs that no rule rejects, as they are."""
-    return with_features(docs).where(decide(rules) == 0).select(*docs.columns)
+def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The rows of docs that no rule rejects, as they are, those that repeat and those with nulls among them; of an empty table none."""
+    rows = with_features(docs, text_col).where(decide(rules) == 0)
+    return rows.select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)

@@ -25,6 +25,8 @@ DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 1 << 30
 #: Ranges with at most this many bytes between them are read at once, up to SPAN bytes.
 GAP, SPAN = 256 << 10, 16 << 20
+#: Bytes of content that are given out at once, but for one record.
+OUT = 64 << 20
 INDEX = "page_id long, url string, digest string, n_bytes long, file string, offset long, length long"
 
 
@@ -93,6 +95,63 @@ def write_pages(pages: DataFrame, folder: str | None = None, file_bytes: int = F
     return read_index(spark, folder)
 
 
+def _members(read, block: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of the gzip members of a stream; of one that isn't compressed, of its records."""
+    held, at, done = read(block), 0, False
+    if held[:2] != b"\x1f\x8b":
+        while held or not done:
+            head = held.find(b"\r\n\r\n")
+            size = head + 8 + int(parse(held[: head + 4])[0]["content-length"]) if head >= 0 else -1
+            if 0 <= size <= len(held):
+                yield at, size, held[:size]
+                held, at = held[size:], at + size
+            elif done:
+                if held.strip():
+                    raise ValueError("the file ends within a record")
+                return
+            else:
+                more = read(block)
+                held, done = held + more, not more
+        return
+    while held:
+        z, out, size = zlib.decompressobj(31), [], 0
+        while not z.eof:
+            if not held:
+                held = read(block)
+                if not held:
+                    raise ValueError("the file ends within a record")
+            out.append(z.decompress(held))
+            size += len(held) - len(z.unused_data)
+            held = z.unused_data
+        yield at, size, b"".join(out)
+        at += size
+        held = held or read(block)
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [f.split()[0] for f in INDEX.split(", ")]
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+    for batch in batches:
+        for name in batch.column(0).to_pylist():
+            system, path = fs.FileSystem.from_uri(name)
+            rows = []
+            with system.open_input_stream(path, compression=None) as f:
+                for at, length, raw in _members(f.read):
+                    headers, payload = parse(raw)
+                    if headers.get("warc-type") in ("resource", "response", "conversion"):
+                        rows.append((None, headers.get("warc-target-uri"), _digest(payload), len(payload), name, at, length))
+                    if len(rows) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+                        rows = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+
+def index_files(files: DataFrame) -> DataFrame:
+    """The index of WARC files that are there, of a column of their URIs, a task for each file at most: of records with content, whose page_id is null. The payload is the record's block, with HTTP headers where it has them."""
+    uris = files.select(F.col(files.columns[0]).alias("file")).where("file is not null")
+    return uris.repartition(max(1, uris.sparkSession.sparkContext.defaultParallelism), "file").mapInArrow(_index, INDEX)
+
+
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
@@ -132,17 +191,22 @@ def _read(gap: int, span: int):
                     file = system.open_input_file(path)
                 base = ranges[first][1]
                 block = file.read_at(max(o + n for _, o, n in ranges[first:last]) - base, base)
-                texts = []
+                texts, start, size = [], first, 0
                 for i in range(first, last):
                     o, n = ranges[i][1] - base, ranges[i][2]
-                    _, payload = parse(zlib.decompress(block[o : o + n], 31))
+                    raw = block[o : o + n]
+                    _, payload = parse(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw)
                     if _digest(payload) != cols["digest"][i]:
                         raise ValueError(f"digest differs: {ranges[i]}")
                     texts.append(payload)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols["page_id"][first:last], pa.int64()), pa.array(cols["url"][first:last], pa.string()), pa.array(cols["digest"][first:last]), pa.array([len(t) for t in texts], pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
-                    names=["page_id", "url", "digest", "n_bytes", "html"],
-                )
+                    size += len(payload)
+                    if size > OUT or i == last - 1:
+                        own = slice(start, i + 1)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(cols["page_id"][own], pa.int64()), pa.array(cols["url"][own], pa.string()), pa.array(cols["digest"][own]), pa.array([len(t) for t in texts], pa.int64()), pa.array([t.decode(errors="replace") for t in texts], pa.string())],
+                            names=["page_id", "url", "digest", "n_bytes", "html"],
+                        )
+                        texts, start, size = [], i + 1, 0
         if file is not None:
             file.close()
 
@@ -150,7 +214,7 @@ def _read(gap: int, span: int):
 
 
 def read_records(selected: DataFrame, gap: int = GAP, span: int = SPAN) -> DataFrame:
-    """(page_id, url, digest, n_bytes, html) of the index rows in `selected`; a digest that isn't that of the payload is an error."""
+    """(page_id, url, digest, n_bytes, html) of the index rows in `selected`; a digest that isn't that of the payload is an error. Rows that repeat are read each; of an empty selection there is no row; extra columns go."""
     sorted_ranges = selected.select("page_id", "url", "digest", "file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
     return sorted_ranges.mapInArrow(_read(gap, span), "page_id long, url string, digest string, n_bytes long, html string")
 
