@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.config import ANNUAL, COMBINED, CURRENT, EVENT_LABELS, EXHIBITS, PAGE_REFERENCE, TRAILING_DIGITS, Form
+from tessera.functions.numbers import half_up
 from tessera.operators.html import SLICE, short_elements, walk
 
 KEY = "filing_id"
@@ -158,7 +159,7 @@ def split_page(page: str | None, form: Form = ANNUAL, retry: bool = False) -> tu
     best = [c for c in headers if c["rank"] == 1]
     earliest = min((c["node_idx"] / len(nodes) for c in best), default=0.0)
     if form.far is not None and earliest > form.far:
-        return len(nodes), headers, references, [], [], True, round(100 * earliest, 1)
+        return len(nodes), headers, references, [], [], True, half_up(100 * earliest, 1)
     texts = [n[0] for n in nodes]
     if retry:
         ranked = {i: sorted((c for c in headers if c["item"] == i and c["rank"]), key=lambda c: c["rank"]) for i in form.order}

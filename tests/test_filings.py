@@ -239,3 +239,9 @@ def test_split_rows(spark):
     assert S.split_filings(df.limit(0)).count() == 0
     plan = S.verdicts(S.split_annual(df))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "Window" not in plan
+
+
+def test_place_of_the_first_header_is_rounded_as_in_sql():
+    """Node 77 of 80 is at 96.25 %: halves go up, as in DuckDB, not to the even digit."""
+    page = "".join(f"<p>{'Item 1. Business' if k == 77 else 'text'}</p>" for k in range(80))
+    assert S.split_page(page)[-1] == 96.3
