@@ -8,8 +8,10 @@ Python worker. The default hashes words.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator, Sequence
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.config import DEFAULT_THRESHOLD, SECTION_NAMES, THRESHOLDS
+from tessera.functions.numbers import half_up
 from tessera.functions.text import LOOSE_BREAK, sentences, strip, word_count
 from tessera.functions.vectors import DIM
 from tessera.operators.html import SLICE
@@ -26,6 +29,8 @@ Embed = Callable[[list[str]], np.ndarray]
 Piece = tuple[str, int, np.ndarray]
 _break = re.compile(LOOSE_BREAK)
 _places: dict[str, int] = {}
+#: x * y + s, rounded once; before Python 3.13 by way of fractions.
+fma = getattr(math, "fma", None) or (lambda x, y, s: float(Fraction(x) * Fraction(y) + Fraction(s)))
 
 
 def hashed_vectors(texts: list[str]) -> np.ndarray:
@@ -86,10 +91,23 @@ def fold(parts: Sequence[str], limit: int) -> list[tuple[str, int]]:
     return [(" ".join(p), n) for p, n in out]
 
 
-def cosine(a: np.ndarray, b: np.ndarray) -> float:
-    """T4: a zero vector is equal to any."""
-    n = float(np.sqrt(a @ a) * np.sqrt(b @ b))
-    return float(a @ b) / n if n > 0 else 1.0
+def dot(a: np.ndarray, b: np.ndarray) -> float:
+    """The sum in order, each product and sum rounded once, as DuckDB's list_dot_product: any other order or rounding may put a cosine on the other side of a threshold or of half a digit."""
+    s = 0.0
+    for x, y in zip(a.tolist(), b.tolist()):
+        s = fma(x, y, s)
+    return s
+
+
+def norm(a: np.ndarray) -> float:
+    return math.sqrt(dot(a, a))
+
+
+def cosine(a: np.ndarray, b: np.ndarray, norms: tuple[float, float] | None = None) -> float:
+    """T4: a zero vector is equal to any. norms: those of a and b, where they are known."""
+    x, y = norms or (norm(a), norm(b))
+    n = x * y
+    return dot(a, b) / n if n > 0 else 1.0
 
 
 def threshold_of(section: str | None) -> float:
@@ -106,9 +124,10 @@ def topics_of(text: str, section: str | None, embed: Embed = hashed_vectors) ->
     """(text, words, vector, cosine with the one before, number of its raw chunk) of each paragraph; the first has no cosine."""
     parts = fold(split_sentences(text), PARAGRAPH)
     vectors = np.asarray(embed([t for t, _ in parts]), float) if parts else np.zeros((0, DIM))
+    norms = [norm(v) for v in vectors] if len(parts) > 1 else []
     out, group = [], 0
     for k, ((t, n), v) in enumerate(zip(parts, vectors)):
-        sim = cosine(vectors[k - 1], v) if k else None
+        sim = cosine(vectors[k - 1], v, (norms[k - 1], norms[k])) if k else None
         group += sim is not None and sim < threshold_of(section)
         out.append((t, n, v, sim, group))
     return out
@@ -162,7 +181,7 @@ def linked(pieces: list[Piece]) -> list[tuple]:
         before = " ".join(split[k - 1][-OVERLAP:]) if k else ""
         after = " ".join(split[k + 1][:OVERLAP]) if k + 1 < len(pieces) else ""
         context = pieces[k - 1][0][:CONTEXT] + "..." if k else ""
-        out.append((k + 1, len(pieces), text, before, after, context, words, round(1 - cosine(pieces[k - 1][2], v), 3) if k else None, v.astype(np.float32)))
+        out.append((k + 1, len(pieces), text, before, after, context, words, half_up(1 - cosine(pieces[k - 1][2], v), 3) if k else None, v.astype(np.float32)))
     return out
 
 

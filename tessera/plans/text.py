@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.numbers import half_up_column
 from tessera.functions.text import q
 from tessera.functions.vectors import hashed_embedding, hashed_embedding_sql
 from tessera.operators import chunks as C
@@ -58,11 +59,11 @@ def paragraphs(spark, sf_dir):
 
 def hashed_embeddings(spark, sf_dir):
     v = hashed_embedding(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(v).alias("k", "x")).where("x > 0").select("doc_id", "k", F.round("x", 6).alias("x"))
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(v).alias("k", "x")).where("x > 0").select("doc_id", "k", half_up_column(F.col("x"), 6).alias("x"))
 
 
 def topic_boundaries(spark, sf_dir):
-    return C.topics(sections(spark, sf_dir)).select("filing_id", "ord", F.round("sim", 6).alias("sim"), "grp")
+    return C.topics(sections(spark, sf_dir)).select("filing_id", "ord", half_up_column(F.col("sim"), 6).alias("sim"), "grp")
 
 
 def chunks_raw(spark, sf_dir):
@@ -72,7 +73,7 @@ def chunks_raw(spark, sf_dir):
 def chunks(spark, sf_dir):
     """A vector is told by the sum of its components and of their squares."""
     rows = C.semantic_chunks(sections(spark, sf_dir))
-    total = lambda f: F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + f(x.cast("double"))), 5)
+    total = lambda f: half_up_column(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + f(x.cast("double"))), 5)
     return rows.withColumn("embedding_sum", total(lambda x: x)).withColumn("embedding_squares", total(lambda x: x * x)).drop("embedding")
 
 

@@ -377,3 +377,30 @@ def test_shared_folder_of_a_cluster():
     assert storage.shared_dir(Session(**{"spark.checkpoint.dir": "file:///x/"})) == "file:///x"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_dir(Session(**{"spark.master": "spark://host:7077"}))
+
+
+def test_cosine_and_rounding_are_those_of_sql():
+    """Cosines of hashed words, among them such at a threshold and at half a digit, to the last bit; and rounding of halves, shown and not."""
+    import duckdb
+
+    from tessera.functions.numbers import half_up
+    from tessera.plans.text import _cos
+
+    rng = np.random.default_rng(0)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(words, rng.integers(2, 9))) for _ in range(4000)] + ["w1 w4 w30 w22 w22 w31 w10", "w10 w2 w1 w23 w22 w6 w6 w6"]
+    v = chunks.hashed_vectors(texts)
+    v, b = v[::2], v[1::2]
+    want = [r[0] for r in duckdb.sql(f"SELECT {_cos} FROM (SELECT unnest(?::DOUBLE[][]) AS v, unnest(?::DOUBLE[][]) AS b)", params=[v.tolist(), b.tolist()]).fetchall()]
+    assert [chunks.cosine(x, y) for x, y in zip(v, b)] == want
+    odd = [0.0078125, 0.0015625, 0.7578125, 0.75781249999999989, 81.25, -0.0625, 1.0000005, 2.5e-7]
+    for digits in (1, 3, 6):
+        assert [half_up(x, digits) for x in odd] == [r[0] for r in duckdb.sql(f"SELECT round(unnest(?::DOUBLE[]), {digits})", params=[odd]).fetchall()]
+
+
+def test_rounded_column(spark):
+    from tessera.functions.numbers import half_up, half_up_column
+
+    odd = [0.0078125, 0.0015625, 0.7578125, 0.75781249999999989, 81.25, -0.0625, 1.0000005, 0.0, None]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(odd)], "k int, x double").select("k", half_up_column(F.col("x"), 6).alias("x")).orderBy("k").collect()
+    assert [r["x"] for r in got] == [None if x is None else half_up(x, 6) for x in odd]
