@@ -67,7 +67,7 @@ def topic_boundaries(spark, sf_dir):
 
 
 def chunks_raw(spark, sf_dir):
-    return C.raw_chunks(sections(spark, sf_dir)).select("filing_id", "grp", "words", "paragraphs", *(F.round(F.element_at("centroid", k), 6).alias(f"component_{k}") for k in (1, 20, 64)))
+    return C.raw_chunks(sections(spark, sf_dir)).select("filing_id", "grp", "words", "paragraphs", *(half_up_column(F.element_at("centroid", k), 6).alias(f"component_{k}") for k in (1, 20, 64)))
 
 
 def chunks(spark, sf_dir):
