@@ -3,6 +3,8 @@
 import json
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -404,3 +406,50 @@ def test_rounded_column(spark):
     odd = [0.0078125, 0.0015625, 0.7578125, 0.75781249999999989, 81.25, -0.0625, 1.0000005, 0.0, None]
     got = spark.createDataFrame([(k, x) for k, x in enumerate(odd)], "k int, x double").select("k", half_up_column(F.col("x"), 6).alias("x")).orderBy("k").collect()
     assert [r["x"] for r in got] == [None if x is None else half_up(x, 6) for x in odd]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_density_clusters_do_not_depend_on_ties_and_blocks(spark, seed):
+    """Points of a grid, many at equal distances and some equal: exactly the clusters of the definition, however the rows lie in blocks, tiles and lists."""
+    rng = np.random.default_rng(seed)
+    points = np.concatenate([rng.integers(0, 4, (rng.integers(6, 16), 2)) * rng.uniform(0.2, 0.7) + rng.integers(-5, 5, 2) for _ in range(5)] + [rng.uniform(-6, 6, (6, 2))])
+    points += rng.normal(0, 1e-3, points.shape) * (rng.random((len(points), 1)) < 0.5)
+    points = points[np.unique(points, axis=0, return_index=True)[1]]
+    df = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "id long, vec array<double>")
+    want = sorted(map(sorted, plain_hdbscan(points, clusters.MIN_SIZE, clusters.MIN_SAMPLES)[1]))
+    for block in (7, 4096):
+        got = {}
+        for r in clusters.density_clusters(df, block=block).collect():
+            got.setdefault(r["cluster_id"], []).append(r["id"])
+        got.pop(-1, None)
+        assert sorted(map(sorted, got.values())) == want
+
+
+@pytest.mark.parametrize("listed", [2, 5])
+def test_spanning_tree_of_groups_without_known_edges_between_them(spark, monkeypatch, tmp_path, listed):
+    """Tight groups, and equal rows, of more rows than a list of neighbours has: the parts ask for their edges, and the tree has the least sum."""
+    rng = np.random.default_rng(listed)
+    points = np.concatenate([c + rng.normal(0, 0.01, (20, 3)) for c in rng.uniform(-3, 3, (9, 3))] + [np.ones((15, 3))])
+    vectors = pa.table({"id": pa.array(range(len(points)), pa.int64()), "vec": pa.array(points.tolist(), pa.list_(pa.float64()))})
+    pq.write_table(vectors, tmp_path / "part-0.parquet")
+    monkeypatch.setattr(clusters, "TILE", 16)
+    path, turns = tmp_path.as_uri(), 0
+    (tmp_path / "near").mkdir()
+    near = list(clusters._neighbours(path, listed, 3, 50)(iter(vectors.to_batches())))
+    pq.write_table(pa.Table.from_batches(near), tmp_path / "near" / "part-0.parquet")
+    s = clusters._first_state((tmp_path / "near").as_uri())
+    while clusters._grow(s) > 1:
+        clusters._save(f"{path}/state", s)
+        (tmp_path / f"asked-{turns}").mkdir()
+        pq.write_table(pa.Table.from_batches(list(clusters._asked(path, f"{path}/state", 50)(iter(vectors.to_batches())))), tmp_path / f"asked-{turns}" / "part-0.parquet")
+        clusters._answered(s, f"{path}/asked-{turns}")
+        turns += 1
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    core = np.sort(d, axis=1)[:, 2]
+    m, inside, total = np.maximum(np.maximum(d, core[:, None]), core[None]), [0], 0.0
+    while len(inside) < len(points):
+        rest = [k for k in range(len(points)) if k not in inside]
+        near = m[np.ix_(inside, rest)].min(axis=0)
+        inside.append(rest[int(near.argmin())])
+        total += near.min()
+    assert turns > 0 and len(s["d"]) == len(points) - 1 and np.isclose(s["d"].sum(), total) and np.allclose(s["core"], core)
