@@ -453,3 +453,28 @@ def test_spanning_tree_of_groups_without_known_edges_between_them(spark, monkeyp
         inside.append(rest[int(near.argmin())])
         total += near.min()
     assert turns > 0 and len(s["d"]) == len(points) - 1 and np.isclose(s["d"].sum(), total) and np.allclose(s["core"], core)
+
+
+def test_json_files_are_read_as_by_spark_in_few_tasks(spark, tmp_path):
+    """Lists, broken and empty files, other encodings, hidden names and deeper folders; and tasks by cores, not by files."""
+    here = tmp_path / "raw"
+    (here / "A B" / "deep").mkdir(parents=True)
+    (here / ".hidden").mkdir()
+    row = {"raw_html": "<p>\u00e9</p>", "ticker": "AAA", "form_type": "10-K", "filing_date": "2024-02-01", "accession_number": "1"}
+    for name, body in {
+        "A B/10K_1.json": json.dumps(row), "A B/deep/10K_2.json": json.dumps([row, row | {"ticker": None}]), "A B/10K_3.json": "{broken", "A B/10K_4.json": " \n", "10K_5.json": json.dumps(row | {"raw_html": {"a": 1}, "form_type": 7}, separators=(",", ":")),
+        "A B/10K_6.json": "[]", "A B/.10K_7.json": json.dumps(row), "A B/_10K_8.json": json.dumps(row), ".hidden/10K_9.json": json.dumps(row), "A B/10K_10.json.bak": json.dumps(row),
+    }.items():
+        (here / name).write_text(body)
+    (here / "A B" / "10K_11.json").write_bytes(json.dumps(row, ensure_ascii=False).encode("utf-16-le"))
+    for k in range(300):
+        (here / "A B" / f"10K_9{k:03}.json").write_text(json.dumps(row | {"accession_number": str(k)}))
+    plain = spark.read.schema(filings.RAW).option("multiLine", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).json(str(here))
+    cols = ["ticker", "form_type", "filing_date", "accession_number", "raw_html"]
+    key = lambda rows: sorted(tuple(map(repr, r)) for r in rows)
+    got = filings._read_json(spark, str(here), "*.json", filings.RAW)
+    assert key(got.select(*cols).collect()) == key(plain.select(*cols).collect())
+    assert {r["file"] for r in got.where("ticker = 'AAA'").select("file").collect()} >= {"10K_1.json", "10K_2.json", "10K_5.json", "10K_11.json"}
+    for k in range(300, 1200):
+        (here / "A B" / f"10K_9{k:04}.json").write_text("{}")
+    assert filings._read_json(spark, str(here), "*.json", filings.RAW).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
