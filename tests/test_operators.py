@@ -478,3 +478,12 @@ def test_json_files_are_read_as_by_spark_in_few_tasks(spark, tmp_path):
     for k in range(300, 1200):
         (here / "A B" / f"10K_9{k:04}.json").write_text("{}")
     assert filings._read_json(spark, str(here), "*.json", filings.RAW).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_places_of_words_are_bounded():
+    """A worker that has met any number of words keeps at most PLACES of them, and the vectors are those without any kept."""
+    texts = [" ".join(f"x{k}y{j}" for j in range(1000)) for k in range(70)]
+    got = chunks.hashed_vectors(texts)
+    assert len(chunks._places) <= chunks.PLACES <= 50_000
+    chunks._places.clear()
+    assert (chunks.hashed_vectors(texts[-3:]) == got[-3:]).all()
