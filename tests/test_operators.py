@@ -455,6 +455,28 @@ def test_spanning_tree_of_groups_without_known_edges_between_them(spark, monkeyp
     assert turns > 0 and len(s["d"]) == len(points) - 1 and np.isclose(s["d"].sum(), total) and np.allclose(s["core"], core)
 
 
+@pytest.mark.parametrize("n", [1, 7, 8, 61])
+def test_pairs_are_found_a_strip_at_a_time(monkeypatch, n):
+    """All pairs within reach, for tables of any width; where all are within reach, no more than a strip of them is held before `maybe` has chosen."""
+    monkeypatch.setattr(clusters, "STRIP", 16)
+    rng = np.random.default_rng(n)
+    a, b, seen = rng.standard_normal((50, 5)), rng.standard_normal((n, 5)), []
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    for reach in (rng.uniform(0, 3, 50), np.full(50, np.inf), np.zeros(50)):
+        r, c, x = clusters._pairs(a, b, reach, lambda r, c: [seen.append(len(r)), (r + c) % 3 != 0][1])
+        want = np.argwhere((d < reach[:, None]) & (np.add.outer(np.arange(50), np.arange(n)) % 3 != 0))
+        assert np.column_stack([r, c]).tolist() == want.tolist() and np.allclose(x, d[r, c])
+    assert max(seen) <= 16 * n
+
+
+def test_only_rows_that_ask_are_dealt(tmp_path):
+    state = (tmp_path / "state").as_uri()
+    clusters._save(state, {"ids": np.arange(3, 9), "ask": np.array([False, True, False, False, True, False]), "u": np.zeros(4)})
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([8, 7, 3, 4], pa.int64()), "vec": pa.array([[k] for k in range(4)], pa.list_(pa.float64()))})
+    assert [b.to_pydict() for b in clusters._asking(state)(iter([batch]))] == [{"id": [7, 4], "vec": [[1.0], [3.0]]}]
+    assert list(clusters._load(state, "ids")) == ["ids"] and sorted(clusters._load(state)) == ["ask", "ids", "u"]
+
+
 def test_json_files_are_read_as_by_spark_in_few_tasks(spark, tmp_path):
     """Lists, broken and empty files, other encodings, hidden names and deeper folders; and tasks by cores, not by files."""
     here = tmp_path / "raw"
